@@ -17,12 +17,24 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken(table(spark, sf_dir, "documents"))
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandweave.llm import bpe, vocab
+
+    return bpe.digests(table(spark, sf_dir, "documents"), vocab.path_of(vocab.WORD_BPE))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandweave.llm.exact_dedup import exact_classes
 
     return exact_classes(table(spark, sf_dir, "documents"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandweave.llm import token_count, vocab
+
+    return token_count.token_counts(table(spark, sf_dir, "documents"), vocab.path_of(vocab.WORD_BPE))
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandweave.llm.near_dedup import near_duplicates
 
@@ -34,7 +46,7 @@ def _shipped(query: Query) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: _shipped(f) for f in (op1_mixing, op4_exact_dedup, op9_minhash_near_dedup)}
+    return {f.__name__: _shipped(f) for f in (op1_mixing, op3_bpe, op4_exact_dedup, op5_token_counts, op9_minhash_near_dedup)}
 
 
 OP1 = r"""
