@@ -17,6 +17,12 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken(table(spark, sf_dir, "documents"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandweave.llm import quality
+
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandweave.llm import bpe, vocab
 
@@ -35,6 +41,12 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"), vocab.path_of(vocab.WORD_BPE))
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandweave.llm.fingerprint import fingerprints
+
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandweave.llm.near_dedup import near_duplicates
 
@@ -46,7 +58,7 @@ def _shipped(query: Query) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: _shipped(f) for f in (op1_mixing, op3_bpe, op4_exact_dedup, op5_token_counts, op9_minhash_near_dedup)}
+    return {f.__name__: _shipped(f) for f in (op1_mixing, op2_quality, op3_bpe, op4_exact_dedup, op5_token_counts, op7_fingerprints, op9_minhash_near_dedup)}
 
 
 OP1 = r"""
