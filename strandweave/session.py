@@ -27,6 +27,9 @@ def ship(spark: SparkSession) -> SparkSession:
                         z.write(full, os.path.relpath(full, os.path.dirname(root)))
         sc.addPyFile(target)
         _shipped.add(sc)
+        # Rows can be long; smaller Arrow batches bound the memory of a task on both sides of the pipe.
+        if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
     return spark
 
 
