@@ -239,7 +239,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     rows = docs.select("doc_id", F.col("text").cast("string").alias("_text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     names = ("n_tokens", "ids_sha256", "decoded_sha256")
-    return rows.mapInArrow(_mapper(vocab.shipped(spark, path), False, ["doc_id"], names), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(text.tidied(_mapper(vocab.shipped(spark, path), False, ["doc_id"], names)), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
@@ -249,7 +249,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     carry = [c for c in docs.columns if c not in names and c != "_text"]
     rows = docs.select(*[F.col(f"`{c}`") for c in carry], F.col("text").cast("string").alias("_text"))
     fields = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in carry)
-    return rows.mapInArrow(_mapper(vocab.shipped(spark, path), True, carry, names), f"{fields}, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>")
+    return rows.mapInArrow(text.tidied(_mapper(vocab.shipped(spark, path), True, carry, names)), f"{fields}, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids", to: str = "decoded") -> DataFrame:

@@ -175,4 +175,4 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     places = F.when(ghost.isNull(), F.array(own)).otherwise(F.array(own, extra))
     dealt = rows.select("doc_id", "text", F.explode(places).alias("place")).select("place.bucket", "place.ghost", "doc_id", "text")
     dealt = dealt.repartitionByRange(len(heads), "bucket").sortWithinPartitions("bucket", "ghost", F.desc_nulls_last("doc_id"), "text")
-    return dealt.mapInArrow(_walk, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return dealt.mapInArrow(text.tidied(_walk), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -164,35 +164,36 @@ def confirmer(percent: int):
 def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets have a Jaccard similarity of percent/100 or more; texts: (rid, text)."""
     used = pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct()
-    sets = cut(texts.join(used, "rid").mapInArrow(sets_of, "rid long, shs binary"))
+    sets = cut(texts.join(used, "rid").mapInArrow(text.tidied(sets_of), "rid long, shs binary"))
     joined = pairs.join(sets.select(F.col("rid").alias("b"), F.col("shs").alias("sb")), "b").join(sets.select(F.col("rid").alias("a"), F.col("shs").alias("sa")), "a")
-    return joined.select("a", "b", "sa", "sb").mapInArrow(confirmer(percent), "a long, b long")
+    return joined.select("a", "b", "sa", "sb").mapInArrow(text.tidied(confirmer(percent)), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs (doc_id, text)."""
     ship(docs.sparkSession)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = cut(base.mapInArrow(sign, "doc_id long, n_shingles long, set_a long, set_b long, sig binary"))
+    signed = cut(base.mapInArrow(text.tidied(sign), "doc_id long, n_shingles long, set_a long, set_b long, sig binary"))
     full = signed.where("n_shingles > 0 and doc_id is not null")
     reps = cut(full.groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("rid"), F.first("sig").alias("sig")))
-    keys = reps.select("rid", "sig").mapInArrow(keys_of, "key long, rid long")
+    keys = reps.select("rid", "sig").mapInArrow(text.tidied(keys_of), "key long, rid long")
     hubs = cut(keys.groupBy("key").agg(F.min("rid").alias("hub"), F.count("*").alias("n")).where("n > 1"))
     members = cut(keys.join(hubs, "key").select("key", "rid", "hub", "n"))
     star = members.where("rid <> hub").select(F.col("hub").alias("a"), F.col("rid").alias("b")).distinct()
     sig = reps.select("rid", "sig")
     star = star.join(sig.select(F.col("rid").alias("a"), F.col("sig").alias("sig_a")), "a").join(sig.select(F.col("rid").alias("b"), F.col("sig").alias("sig_b")), "b")
-    star = cut(star.select("a", "b", "sig_a", "sig_b").mapInArrow(close, "a long, b long"))
+    star = cut(star.select("a", "b", "sig_a", "sig_b").mapInArrow(text.tidied(close), "a long, b long"))
     texts = base.withColumnRenamed("doc_id", "rid")
     first = cut(confirm(star, texts, percent))
     labels = graph.components(first)
-    rest = members.join(labels.withColumnRenamed("node", "rid"), "rid", "left").select("key", "rid", "n", F.coalesce("label", "rid").alias("label"))
+    # In a bucket of two the star was the only pair.
+    rest = members.where("n > 2").join(labels.withColumnRenamed("node", "rid"), "rid", "left").select("key", "rid", "n", F.coalesce("label", "rid").alias("label"))
     mixed = rest.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
     open_rows = rest.join(mixed, "key").join(sig, "rid").withColumn("nb", F.ceil(F.col("n") / BLOCK).cast("int"))
     open_rows = open_rows.withColumn("blk", F.pmod(F.xxhash64("rid"), F.col("nb")).cast("int"))
     dealt = open_rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("key", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"), "blk", "rid", "label", "sig")
     dealt = dealt.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
-    more = dealt.mapInArrow(across, "a long, b long").distinct().join(star, ["a", "b"], "left_anti")
+    more = dealt.mapInArrow(text.tidied(across), "a long, b long").distinct().join(star, ["a", "b"], "left_anti")
     more = cut(more)
     edges = first
     if not more.isEmpty():

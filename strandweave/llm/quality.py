@@ -161,7 +161,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     picks = picks.union(ordered(docs.where(~in_fold()).select(F.col("doc_id").cast("long").alias("doc_id")), 2, UNLABELLED).select("doc_id", F.lit(0)))
     # At most POSITIVES + UNLABELLED + CALIBRATION ids, so the broadcast is bounded.
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picks), "doc_id")
-    rows = picked.select("use", "text").mapInArrow(_featured, "use int, x binary").orderBy("use", "x").toArrow()
+    rows = picked.select("use", "text").mapInArrow(text.tidied(_featured), "use int, x binary").orderBy("use", "x").toArrow()
     use = rows.column("use").to_numpy()
     x = np.frombuffer(b"".join(rows.column("x").to_pylist()), dtype=np.float32).reshape(-1, WIDTH)
     pos, unl, cal = x[use == 1], x[use == 0], x[use >= 10]
@@ -183,7 +183,7 @@ def score(docs: DataFrame, model: Model, carry: list[str]) -> DataFrame:
                 s = shared.value.score(features(part.column("_text")))
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in carry], pa.array(s, pa.float64()), pa.array((s >= THRESHOLD).astype(np.int32))], [*carry, "score", "predicted"])
 
-    return rows.mapInArrow(run, f"{fields}, score double, predicted int")
+    return rows.mapInArrow(text.tidied(run), f"{fields}, score double, predicted int")
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -179,4 +179,4 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     spark = ship(docs.sparkSession)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(_mapper(vocab.shipped(spark, path), limit), f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return rows.mapInArrow(text.tidied(_mapper(vocab.shipped(spark, path), limit)), f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
