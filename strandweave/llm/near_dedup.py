@@ -19,11 +19,10 @@ with a null doc_id are returned without links. Extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,7 +61,7 @@ def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def signatures(column: pa.Array) -> np.ndarray:
     data = b"".join(column.to_pylist())
-    return np.frombuffer(data, dtype=np.uint16).reshape(len(column), SYMBOLS)
+    return np.frombuffer(data, dtype=np.uint16).reshape(len(column), -1)
 
 
 def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,18 +83,21 @@ def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(out.reshape(-1).astype(np.int64)), pa.array(rid)], ["key", "rid"])
 
 
-def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b, sig_a, sig_b) within RADIUS."""
-    for batch in batches:
-        if batch.num_rows:
-            near = (signatures(batch.column("sig_a")) != signatures(batch.column("sig_b"))).sum(axis=1) <= RADIUS
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(near))
+def closer(radius: int) -> Callable:
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs (a, b, sig_a, sig_b) within the radius."""
+        for batch in batches:
+            if batch.num_rows:
+                near = (signatures(batch.column("sig_a")) != signatures(batch.column("sig_b"))).sum(axis=1) <= radius
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(near))
 
+    return close
 
-def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, bi, bj, blk, rid, label, sig) sorted by (key, bi, bj): pairs of different labels within RADIUS.
 
-    A group holds two blocks of about BLOCK rows at most; a pair of equal blocks is compared once.
+def across(radius: int) -> Callable:
+    """Rows (key, bi, bj, blk, rid, label, sig) sorted by (key, bi, bj) to pairs of different labels within the radius.
+
+    A group holds two blocks of about BLOCK rows each; a pair is compared in one group of a bucket only.
     """
 
     def compare(rows: list[tuple]) -> tuple[list, list]:
@@ -104,7 +106,7 @@ def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         right = left if bi == bj else [r for r in rows if r[3] == bj]
         if not left or not right:
             return [], []
-        sl, sr = (np.frombuffer(b"".join(r[6] for r in x), dtype=np.uint16).reshape(-1, SYMBOLS) for x in (left, right))
+        sl, sr = (np.frombuffer(b"".join(r[6] for r in x), dtype=np.uint16).reshape(len(x), -1) for x in (left, right))
         ll, lr = np.array([r[5] for r in left]), np.array([r[5] for r in right])
         rl, rr = np.array([r[4] for r in left]), np.array([r[4] for r in right])
         a, b = [], []
@@ -112,30 +114,33 @@ def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             differ = lr != ll[i]
             if bi == bj:
                 differ = differ & (rr > rl[i])
-            if differ.any():
-                at = np.flatnonzero(differ)
-                at = at[(sr[at] != sl[i]).sum(axis=1) <= RADIUS]
+            at = np.flatnonzero(differ)
+            if len(at):
+                at = at[(sr[at] != sl[i]).sum(axis=1) <= radius]
                 a.extend([rl[i]] * len(at))
                 b.extend(rr[at])
         return a, b
 
-    group: list[tuple] = []
-    for batch in batches:
-        a, b = [], []
-        columns = [batch.column(n).to_pylist() for n in ("key", "bi", "bj", "blk", "rid", "label", "sig")]
-        for row in zip(*columns, strict=True):
-            if group and group[0][:3] != row[:3]:
-                x, y = compare(group)
-                a += x
-                b += y
-                group = []
-            group.append(row)
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-    if group:
-        a, b = compare(group)
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: list[tuple] = []
+        for batch in batches:
+            a, b = [], []
+            columns = [batch.column(n).to_pylist() for n in ("key", "bi", "bj", "blk", "rid", "label", "sig")]
+            for row in zip(*columns, strict=True):
+                if group and group[0][:3] != row[:3]:
+                    x, y = compare(group)
+                    a += x
+                    b += y
+                    group = []
+                group.append(row)
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+        if group:
+            a, b = compare(group)
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    return run
 
 
 def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +152,7 @@ def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("rid"), pa.array(own, pa.binary())], ["rid", "shs"])
 
 
-def confirmer(percent: int):
+def confirmer(percent: int) -> Callable:
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Pairs (a, b, sa, sb) whose full sets reach the similarity."""
         for batch in batches:
@@ -161,30 +166,25 @@ def confirmer(percent: int):
     return confirm
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets have a Jaccard similarity of percent/100 or more; texts: (rid, text)."""
-    used = pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct()
-    sets = cut(texts.join(used, "rid").mapInArrow(text.tidied(sets_of), "rid long, shs binary"))
-    joined = pairs.join(sets.select(F.col("rid").alias("b"), F.col("shs").alias("sb")), "b").join(sets.select(F.col("rid").alias("a"), F.col("shs").alias("sa")), "a")
+def confirm(pairs: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets have a Jaccard similarity of percent/100 or more."""
+    found = cut(sets(pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct()))
+    joined = pairs.join(found.select(F.col("rid").alias("b"), F.col("shs").alias("sb")), "b").join(found.select(F.col("rid").alias("a"), F.col("shs").alias("sa")), "a")
     return joined.select("a", "b", "sa", "sb").mapInArrow(text.tidied(confirmer(percent)), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of docs (doc_id, text)."""
-    ship(docs.sparkSession)
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = cut(base.mapInArrow(text.tidied(sign), "doc_id long, n_shingles long, set_a long, set_b long, sig binary"))
-    full = signed.where("n_shingles > 0 and doc_id is not null")
-    reps = cut(full.groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("rid"), F.first("sig").alias("sig")))
-    keys = reps.select("rid", "sig").mapInArrow(text.tidied(keys_of), "key long, rid long")
+def linked(keys: DataFrame, sig: DataFrame, sets: Callable[[DataFrame], DataFrame], radius: int, percent: int) -> DataFrame:
+    """(node, label) of the ids that are linked with another.
+
+    keys: (key, rid), the buckets; sig: (rid, sig), one row an id; sets: gives (rid, shs) for a table of ids (rid).
+    Pairs that share a bucket, have signatures within the radius and sets of enough similarity are links.
+    """
     hubs = cut(keys.groupBy("key").agg(F.min("rid").alias("hub"), F.count("*").alias("n")).where("n > 1"))
     members = cut(keys.join(hubs, "key").select("key", "rid", "hub", "n"))
     star = members.where("rid <> hub").select(F.col("hub").alias("a"), F.col("rid").alias("b")).distinct()
-    sig = reps.select("rid", "sig")
     star = star.join(sig.select(F.col("rid").alias("a"), F.col("sig").alias("sig_a")), "a").join(sig.select(F.col("rid").alias("b"), F.col("sig").alias("sig_b")), "b")
-    star = cut(star.select("a", "b", "sig_a", "sig_b").mapInArrow(text.tidied(close), "a long, b long"))
-    texts = base.withColumnRenamed("doc_id", "rid")
-    first = cut(confirm(star, texts, percent))
+    star = cut(star.select("a", "b", "sig_a", "sig_b").mapInArrow(text.tidied(closer(radius)), "a long, b long"))
+    first = cut(confirm(star, sets, percent))
     labels = graph.components(first)
     # In a bucket of two the star was the only pair.
     rest = members.where("n > 2").join(labels.withColumnRenamed("node", "rid"), "rid", "left").select("key", "rid", "n", F.coalesce("label", "rid").alias("label"))
@@ -193,12 +193,20 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     open_rows = open_rows.withColumn("blk", F.pmod(F.xxhash64("rid"), F.col("nb")).cast("int"))
     dealt = open_rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("key", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"), "blk", "rid", "label", "sig")
     dealt = dealt.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
-    more = dealt.mapInArrow(text.tidied(across), "a long, b long").distinct().join(star, ["a", "b"], "left_anti")
-    more = cut(more)
-    edges = first
-    if not more.isEmpty():
-        edges = cut(first.union(confirm(more, texts, percent)))
-        labels = graph.components(edges)
+    more = cut(dealt.mapInArrow(text.tidied(across(radius)), "a long, b long").distinct().join(star, ["a", "b"], "left_anti"))
+    return labels if more.isEmpty() else graph.components(first.union(confirm(more, sets, percent)))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row of docs (doc_id, text)."""
+    ship(docs.sparkSession)
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    signed = cut(base.mapInArrow(text.tidied(sign), "doc_id long, n_shingles long, set_a long, set_b long, sig binary"))
+    full = signed.where("n_shingles > 0 and doc_id is not null")
+    reps = cut(full.groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("rid"), F.first("sig").alias("sig")))
+    keys = reps.select("rid", "sig").mapInArrow(text.tidied(keys_of), "key long, rid long")
+    texts = base.withColumnRenamed("doc_id", "rid")
+    labels = linked(keys, reps.select("rid", "sig"), lambda used: texts.join(used, "rid").mapInArrow(text.tidied(sets_of), "rid long, shs binary"), RADIUS, percent)
     # membership: a class of equal sets takes its representative's label
     named = reps.join(labels.withColumnRenamed("node", "rid"), "rid", "left").select("n_shingles", "set_a", "set_b", F.coalesce("label", "rid").alias("component_id"))
     keyset = ["n_shingles", "set_a", "set_b"]
