@@ -53,12 +53,18 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op10_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandweave.llm.passage_dedup import repeats
+
+    return repeats(table(spark, sf_dir, "documents"))
+
+
 def _shipped(query: Query) -> Query:
     return lambda spark, sf_dir: query(ship(spark), sf_dir)
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: _shipped(f) for f in (op1_mixing, op2_quality, op3_bpe, op4_exact_dedup, op5_token_counts, op7_fingerprints, op9_minhash_near_dedup)}
+    return {f.__name__: _shipped(f) for f in (op1_mixing, op2_quality, op3_bpe, op4_exact_dedup, op5_token_counts, op7_fingerprints, op9_minhash_near_dedup, op10_passage_dedup)}
 
 
 OP1 = r"""
