@@ -41,12 +41,24 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"), vocab.path_of(vocab.WORD_BPE))
 
 
+def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandweave.llm import lm_score, vocab
+
+    return lm_score.lm_scores(table(spark, sf_dir, "documents"), vocab.path_of(vocab.PIECES))
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandweave.llm.fingerprint import fingerprints
 
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandweave.llm.html_extract import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandweave.llm.near_dedup import near_duplicates
 
@@ -64,7 +76,7 @@ def _shipped(query: Query) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: _shipped(f) for f in (op1_mixing, op2_quality, op3_bpe, op4_exact_dedup, op5_token_counts, op7_fingerprints, op9_minhash_near_dedup, op10_passage_dedup)}
+    return {f.__name__: _shipped(f) for f in (op1_mixing, op2_quality, op3_bpe, op4_exact_dedup, op5_token_counts, op6_lm_scores, op7_fingerprints, op8_html_extraction, op9_minhash_near_dedup, op10_passage_dedup)}
 
 
 OP1 = r"""

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandweave.llm.graph import SALTS
+from strandweave.session import cut
 
 
 def digest(column: str = "text"):
@@ -47,8 +48,11 @@ class DigestIndex:
 
     def add(self, docs: DataFrame) -> DataFrame:
         """Append what is new; returns the index."""
-        new = self.fresh(docs).repartition(self.buckets, "text_sha256")
-        writer = new.write.format("parquet").bucketBy(self.buckets, "text_sha256").sortBy("text_sha256").mode("append")
+        return self.append(self.fresh(docs))
+
+    def append(self, new: DataFrame) -> DataFrame:
+        """Append entries of digests that the index lacks."""
+        writer = new.repartition(self.buckets, "text_sha256").write.format("parquet").bucketBy(self.buckets, "text_sha256").sortBy("text_sha256").mode("append")
         (writer.option("path", self.path) if self.path else writer).saveAsTable(self.name)
         return self.table()
 
@@ -67,15 +71,22 @@ def classes(docs: DataFrame, index: DataFrame) -> DataFrame:
     return out.select("doc_id", "keep_id", F.col("n").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
-def filter_new(docs: DataFrame, index_before: DataFrame | None) -> DataFrame:
-    """The rows of docs that stay: the largest doc_id of each digest that index_before lacks, with all their columns."""
+def filter_new(docs: DataFrame, index: DigestIndex) -> DataFrame:
+    """The rows of docs, with all their columns, that stay beside what the index holds; the index then holds them too.
+
+    Of rows that tie on digest and doc_id one stays.
+    """
+    fresh = cut(index.fresh(docs).select(F.col("text_sha256").alias("_ks"), F.col("keep_id").alias("_keep"), "n"))
+    index.append(fresh.select(F.col("_ks").alias("text_sha256"), F.col("_keep").alias("keep_id"), "n"))
     rows = docs.withColumn("_sha", digest())
-    keep = rows.groupBy("_sha").agg(F.max("doc_id").alias("_keep"))
-    if index_before is not None:
-        keep = keep.join(index_before.select(F.col("text_sha256").alias("_sha")).hint("merge"), "_sha", "left_anti")
-    # Matching on (digest, doc_id) is one row of the kept side a row of docs at most, whatever the size of the group.
-    keep = keep.withColumnRenamed("_sha", "_ks")
-    return rows.join(keep, (F.col("_sha") == F.col("_ks")) & F.col("doc_id").eqNullSafe(F.col("_keep"))).drop("_sha", "_ks", "_keep")
+    # Digest and doc_id together are unique but for repeated rows, so a large group is no large key.
+    kept = rows.join(fresh.drop("n"), (F.col("_sha") == F.col("_ks")) & F.col("doc_id").eqNullSafe(F.col("_keep")))
+    return kept.dropDuplicates(["_sha"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def exact_unique(docs: DataFrame) -> DataFrame:
+    """docs with one row of each text, by an index made for it."""
+    return filter_new(docs, DigestIndex(docs.sparkSession, f"digest_index_{uuid.uuid4().hex[:12]}"))
 
 
 def exact_classes(docs: DataFrame) -> DataFrame:
