@@ -8,10 +8,11 @@ probability under 1e-5; every pair within RADIUS is found:
   a chunk with at most one of them (12 chunks with two each make 24). Allowed errors are enumerated by masking each
   symbol of each chunk in turn: 60 keys a text, and the pair shares one of them.
 - Equal sets are collapsed first; copies cost one row each.
-- Each bucket first links its members to its smallest member (as many pairs as members). Pairs are confirmed on the
-  full sets, and components are formed. Only buckets that still hold several components are compared pair by pair on
-  signatures, in blocks of bounded size dealt over tasks; pairs already in one component are skipped, since they can no
-  longer change the result. Nothing is capped.
+- Components of close signatures are formed from links of each bucket's members with its smallest one, then from blocks
+  of bounded size of the buckets that still hold several components. A block gives only links that join components, so
+  a group of n near copies gives about n rows, not the square.
+- Within each component all full sets are compared, again in blocks of bounded size dealt over tasks, by products of
+  their incidence matrices. Every pair within RADIUS is confirmed or refused on its full sets; nothing is capped.
 
 Nulls and texts without words have an empty set, are linked with nothing and stay. doc_id identifies a document; rows
 with a null doc_id are returned without links. Extra columns are ignored.
@@ -23,7 +24,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandweave.llm import graph, text
@@ -34,6 +35,8 @@ CHUNKS, PER_CHUNK = 12, 5
 SYMBOLS = CHUNKS * PER_CHUNK
 RADIUS = 2 * CHUNKS - 1
 BLOCK = 1024
+#: A block of full sets holds about this many, and bytes.
+SETS, SET_BYTES = 512, 8_000_000
 _rng = np.random.RandomState(20240229)
 _ADD = _rng.randint(0, 2**63 - 1, SYMBOLS).astype(U)
 _MUL = (_rng.randint(0, 2**63 - 1, SYMBOLS).astype(U) << U(1)) | U(1)
@@ -94,51 +97,120 @@ def closer(radius: int) -> Callable:
     return close
 
 
+def grouped(batches: Iterator[pa.RecordBatch], keys: int, names: list[str]) -> Iterator[list[tuple]]:
+    """Rows of consecutive equal values in the first `keys` columns, whatever the batches' borders."""
+    group: list[tuple] = []
+    for batch in batches:
+        for row in zip(*[batch.column(n).to_pylist() for n in names], strict=True):
+            if group and group[0][:keys] != row[:keys]:
+                yield group
+                group = []
+            group.append(row)
+    if group:
+        yield group
+
+
+def pairs_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = np.array(pairs, dtype=np.int64).reshape(-1, 2).T
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+
 def across(radius: int) -> Callable:
-    """Rows (key, bi, bj, blk, rid, label, sig) sorted by (key, bi, bj) to pairs of different labels within the radius.
+    """Rows (key, bi, bj, blk, rid, label, sig) sorted by (key, bi, bj) to links (a, b) between labels.
 
-    A group holds two blocks of about BLOCK rows each; a pair is compared in one group of a bucket only.
+    A group holds two blocks of about BLOCK rows. Signatures of different labels within the radius join their labels,
+    and only links that join are given: fewer than rows, however many pairs are close.
     """
 
-    def compare(rows: list[tuple]) -> tuple[list, list]:
+    def compare(rows: list[tuple]) -> list[tuple[int, int]]:
         bi, bj = rows[0][1], rows[0][2]
-        left = [r for r in rows if r[3] == bi]
-        right = left if bi == bj else [r for r in rows if r[3] == bj]
-        if not left or not right:
-            return [], []
-        sl, sr = (np.frombuffer(b"".join(r[6] for r in x), dtype=np.uint16).reshape(len(x), -1) for x in (left, right))
-        ll, lr = np.array([r[5] for r in left]), np.array([r[5] for r in right])
-        rl, rr = np.array([r[4] for r in left]), np.array([r[4] for r in right])
-        a, b = [], []
-        for i in range(len(left)):
-            differ = lr != ll[i]
-            if bi == bj:
-                differ = differ & (rr > rl[i])
-            at = np.flatnonzero(differ)
-            if len(at):
-                at = at[(sr[at] != sl[i]).sum(axis=1) <= radius]
-                a.extend([rl[i]] * len(at))
-                b.extend(rr[at])
-        return a, b
+        rid, label = np.array([r[4] for r in rows]), np.array([r[5] for r in rows])
+        sig = np.frombuffer(b"".join(r[6] for r in rows), dtype=np.uint16).reshape(len(rows), -1)
+        block = np.array([r[3] for r in rows])
+        root = np.unique(label, return_inverse=True)[1]
+        right = np.flatnonzero(block == bj)
+        out = []
+        for i in np.flatnonzero(block == bi):
+            at = right[root[right] != root[i]]
+            at = at[(sig[at] != sig[i]).sum(axis=1) <= radius]
+            while len(at):
+                out.append((rid[i], rid[at[0]]))
+                root[root == root[at[0]]] = root[i]
+                at = at[root[at] != root[i]]
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: list[tuple] = []
-        for batch in batches:
-            a, b = [], []
-            columns = [batch.column(n).to_pylist() for n in ("key", "bi", "bj", "blk", "rid", "label", "sig")]
-            for row in zip(*columns, strict=True):
-                if group and group[0][:3] != row[:3]:
-                    x, y = compare(group)
-                    a += x
-                    b += y
-                    group = []
-                group.append(row)
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-        if group:
-            a, b = compare(group)
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+        held: list[tuple[int, int]] = []
+        for rows in grouped(batches, 3, ["key", "bi", "bj", "blk", "rid", "label", "sig"]):
+            held += compare(rows)
+            if len(held) > 10_000:
+                yield pairs_batch(held)
+                held = []
+        if held:
+            yield pairs_batch(held)
+
+    return run
+
+
+def common(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of the sets, as products of their incidence matrix over elements that repeat."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, element, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times > 1
+    column = (np.cumsum(shared) - 1)[element]
+    keep = shared[element]
+    owner, column = owner[keep], column[keep]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    for at in range(0, int(shared.sum()), 2048):
+        b, e = np.searchsorted(column, [at, at + 2048])
+        part = np.zeros((len(sets), 2048), dtype=np.float32)
+        part[owner[b:e], column[b:e] - at] = 1
+        out += part @ part.T
+    return out
+
+
+def verified(percent: int) -> Callable:
+    """Rows (label, bi, bj, blk, rid, shs) sorted by (label, bi, bj) to links (a, b) that stand for all links among them.
+
+    The Jaccard similarity of every pair of the two blocks is computed from the full sets; of the links found, a star a
+    component is given: fewer than rows.
+    """
+
+    def compare(rows: list[tuple]) -> list[tuple[int, int]]:
+        sets = [np.frombuffer(r[5], dtype=U) for r in rows]
+        size = np.array([len(x) for x in sets], dtype=np.float64)
+        both = common(sets).astype(np.float64)
+        near = (both > 0) & (100 * both >= percent * (size[:, None] + size[None, :] - both))
+        bi, bj = rows[0][1], rows[0][2]
+        if bi != bj:  # pairs inside a block belong to another group
+            block = np.array([r[3] for r in rows])
+            near &= block[:, None] != block[None, :]
+        out, free = [], near.any(axis=1)
+        for i in range(len(rows)):
+            if not free[i]:
+                continue
+            reached = np.zeros(len(rows), dtype=bool)
+            reached[i], fresh = True, np.array([i])
+            while len(fresh):
+                step = near[fresh].any(axis=0) & ~reached
+                reached |= step
+                fresh = np.flatnonzero(step)
+            free &= ~reached
+            out += [(rows[i][4], rows[j][4]) for j in np.flatnonzero(reached) if j != i]
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, int]] = []
+        for rows in grouped(batches, 3, ["label", "bi", "bj", "blk", "rid", "shs"]):
+            if len(rows) > 1:
+                held += compare(rows)
+            if len(held) > 10_000:
+                yield pairs_batch(held)
+                held = []
+        if held:
+            yield pairs_batch(held)
 
     return run
 
@@ -152,25 +224,12 @@ def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("rid"), pa.array(own, pa.binary())], ["rid", "shs"])
 
 
-def confirmer(percent: int) -> Callable:
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs (a, b, sa, sb) whose full sets reach the similarity."""
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), dtype=U), np.frombuffer(y.as_buffer(), dtype=U)
-                both = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) * 100 >= percent * max(len(x), len(y)) else 0
-                keep.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return confirm
-
-
-def confirm(pairs: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have a Jaccard similarity of percent/100 or more."""
-    found = cut(sets(pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct()))
-    joined = pairs.join(found.select(F.col("rid").alias("b"), F.col("shs").alias("sb")), "b").join(found.select(F.col("rid").alias("a"), F.col("shs").alias("sa")), "a")
-    return joined.select("a", "b", "sa", "sb").mapInArrow(text.tidied(confirmer(percent)), "a long, b long")
+def in_blocks(rows: DataFrame, group: str, blocks: Column, carry: list[str]) -> DataFrame:
+    """Rows dealt over the pairs of blocks of their group, sorted by group and pair of blocks."""
+    dealt = rows.withColumn("nb", blocks.cast("int")).withColumn("blk", F.pmod(F.xxhash64("rid"), F.col("nb")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    dealt = dealt.select(group, F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"), "blk", "rid", *carry)
+    return dealt.repartition(group, "bi", "bj").sortWithinPartitions(group, "bi", "bj")
 
 
 def linked(keys: DataFrame, sig: DataFrame, sets: Callable[[DataFrame], DataFrame], radius: int, percent: int) -> DataFrame:
@@ -178,23 +237,29 @@ def linked(keys: DataFrame, sig: DataFrame, sets: Callable[[DataFrame], DataFram
 
     keys: (key, rid), the buckets; sig: (rid, sig), one row an id; sets: gives (rid, shs) for a table of ids (rid).
     Pairs that share a bucket, have signatures within the radius and sets of enough similarity are links.
+
+    First the components of close signatures are found: from each bucket's members and its smallest one, then inside the
+    buckets that still hold several components. Then full sets are compared within each component.
     """
     hubs = cut(keys.groupBy("key").agg(F.min("rid").alias("hub"), F.count("*").alias("n")).where("n > 1"))
     members = cut(keys.join(hubs, "key").select("key", "rid", "hub", "n"))
     star = members.where("rid <> hub").select(F.col("hub").alias("a"), F.col("rid").alias("b")).distinct()
-    star = star.join(sig.select(F.col("rid").alias("a"), F.col("sig").alias("sig_a")), "a").join(sig.select(F.col("rid").alias("b"), F.col("sig").alias("sig_b")), "b")
+    star = star.join(sig.select(F.col("rid").alias("b"), F.col("sig").alias("sig_b")), "b").join(sig.select(F.col("rid").alias("a"), F.col("sig").alias("sig_a")), "a")
     star = cut(star.select("a", "b", "sig_a", "sig_b").mapInArrow(text.tidied(closer(radius)), "a long, b long"))
-    first = cut(confirm(star, sets, percent))
-    labels = graph.components(first)
+    coarse = graph.components(star)
     # In a bucket of two the star was the only pair.
-    rest = members.where("n > 2").join(labels.withColumnRenamed("node", "rid"), "rid", "left").select("key", "rid", "n", F.coalesce("label", "rid").alias("label"))
+    rest = members.where("n > 2").join(coarse.withColumnRenamed("node", "rid"), "rid", "left").select("key", "rid", "n", F.coalesce("label", "rid").alias("label"))
     mixed = rest.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    open_rows = rest.join(mixed, "key").join(sig, "rid").withColumn("nb", F.ceil(F.col("n") / BLOCK).cast("int"))
-    open_rows = open_rows.withColumn("blk", F.pmod(F.xxhash64("rid"), F.col("nb")).cast("int"))
-    dealt = open_rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("key", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"), "blk", "rid", "label", "sig")
-    dealt = dealt.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
-    more = cut(dealt.mapInArrow(text.tidied(across(radius)), "a long, b long").distinct().join(star, ["a", "b"], "left_anti"))
-    return labels if more.isEmpty() else graph.components(first.union(confirm(more, sets, percent)))
+    open_rows = rest.join(mixed, "key").join(sig, "rid")
+    more = cut(in_blocks(open_rows, "key", F.ceil(F.col("n") / BLOCK), ["label", "sig"]).mapInArrow(text.tidied(across(radius)), "a long, b long").distinct())
+    if not more.isEmpty():
+        coarse = graph.components(star.union(more))
+    coarse = cut(coarse)
+    whole = sets(coarse.select(F.col("node").alias("rid"))).join(coarse.withColumnRenamed("node", "rid"), "rid")
+    whole = cut(whole.select("label", "rid", "shs"))
+    load = whole.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / SETS), F.ceil(F.sum(F.octet_length("shs")) / SET_BYTES)).alias("blocks"))
+    blocks = in_blocks(whole.join(load, "label"), "label", F.col("blocks"), ["shs"])
+    return graph.components(blocks.mapInArrow(text.tidied(verified(percent)), "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
