@@ -29,18 +29,23 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).option("basePath", f"{root}/out").parquet(f"{root}/out")
 
 
+def timed(events: DataFrame) -> DataFrame:
+    """Watermarks need a timestamp with the session's time zone."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def windowed(events: DataFrame, late: str = "2 hours", width: str = "1 hour") -> DataFrame:
     """Counts by window and type; rows later than the watermark are left out."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("w"), "event_type", "n")
+    return timed(events).withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("w"), "event_type", "n")
 
 
 def deduplicated(events: DataFrame, late: str = "2 hours") -> DataFrame:
     """The first event of each id within the watermark."""
-    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
+    return timed(events).withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
 def sessions(events: DataFrame, gap: str = "6 hours", late: str = "2 hours") -> DataFrame:
-    return events.withWatermark("ts", late).groupBy("user_id", F.session_window("ts", gap)).agg(F.count("*").alias("n")).select("user_id", F.col("session_window.start").alias("w"), "n")
+    return timed(events).withWatermark("ts", late).groupBy("user_id", F.session_window("ts", gap)).agg(F.count("*").alias("n")).select("user_id", F.col("session_window.start").alias("w"), "n")
 
 
 def hourly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
