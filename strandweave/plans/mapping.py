@@ -512,3 +512,22 @@ def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("name"), F.length(sq.project(F.col("text"))).alias("length"))
     return d.withColumn("contig_id", F.row_number().over(Window.orderBy("name")) - 1)
+
+
+# --- base alignment ---------------------------------------------------------------------------------------------------
+
+
+@query("op_X05_X27_base_alignment")
+def base_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Placements with base alignment, difference strings and edit distance of their stretch."""
+    from strandweave.operators import align
+
+    refs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("contig"), sq.project(F.col("text")).alias("seq"))
+    own = reads(spark, sf_dir).select(F.col("item_id").cast("long").alias("id"), "seq")
+    return align.aligned(map_quality(spark, sf_dir), own, refs)
+
+
+@query("op_M07_role_counts")
+def role_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of placements by role, and their mean quality."""
+    return map_quality(spark, sf_dir).groupBy("role").agg(F.count("*").alias("n"), F.avg("mapq").alias("mean_mapq"))
