@@ -333,3 +333,26 @@ def test_passages(spark):
     assert found == {(0, False), (4, True), (7, True)}
     left = {r.doc_id: r.text for r in passage_dedup.without_repeats(table, got).collect()}
     assert left[4] == " ".join(b for b in bodies[4] if b not in passage) and left[0] == rows[0][1] and left[8] == rows[8][1]
+
+
+def test_passages_without_sentences(spark):
+    """Runs of 47 words and more are found though no sentence of them stands alone in either text."""
+    rng = random.Random(16)
+    some = lambda n: ["".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(3, 8))) for _ in range(n)]
+    rows, want = [], set()
+    for k in range(24):
+        passage = some(47 + k % 6)
+        if k % 2:
+            passage = [w + "." if i % 16 == 9 else w for i, w in enumerate(passage)]  # its first and last sentence go on outside
+        for d in (k, 100 + k):
+            before = some(rng.randint(0, 70))
+            rows.append((d, " ".join(before + passage + some(rng.randint(0, 70))), "en", "s", 0))
+        want.add((100 + k, k))
+    rows += [(200 + k, " ".join(some(120)), "en", "s", 0) for k in range(5)]
+    rows += [(300 + k, " ".join(some(20) + rows[0][1].split()[:30] + some(20)), "en", "s", 0) for k in range(2)]
+    got = passage_dedup.repeats(docs(spark, rows[:-1])).collect()
+    assert {(r.doc_id, r.keep_doc_id) for r in got if r.removed} == want
+    text_of = {r[0]: r[1].split() for r in rows}
+    for r in got:
+        run = " ".join(text_of[r.doc_id][r.begin_word : r.end_word])
+        assert r.n_words >= 40 and run in " ".join(text_of[(r.doc_id + 100) % 200])
