@@ -356,3 +356,22 @@ def test_passages_without_sentences(spark):
     for r in got:
         run = " ".join(text_of[r.doc_id][r.begin_word : r.end_word])
         assert r.n_words >= 40 and run in " ".join(text_of[(r.doc_id + 100) % 200])
+
+
+def test_passages_edited_in_the_first_sentence(spark):
+    """One word changed in the first, the middle or the last of three sentences of 17 words; two copies or three."""
+    rng = random.Random(26)
+    sentence = lambda n=17: " ".join("".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(3, 8))) for _ in range(n)) + "."
+    rows, want = [], set()
+    for k in range(12):
+        passage = [sentence() for _ in range(3)]
+        edited = list(passage)
+        w = edited[k % 3].split()
+        w[8] = "edited"
+        edited[k % 3] = " ".join(w)
+        for d, body in ((k, passage), (100 + k, edited), (200 + k, passage))[: 2 + k // 6]:
+            rows.append((d, " ".join([sentence(), sentence(), *body, sentence(), sentence()]), "en", "s", 0))
+            want |= {(d, k)} if d > k else set()
+    got = passage_dedup.repeats(docs(spark, rows)).collect()
+    assert {(r.doc_id, r.keep_doc_id) for r in got if r.removed} == want
+    assert all((r.begin_word, r.end_word) == (34, 85) for r in got)
