@@ -375,3 +375,11 @@ def test_passages_edited_in_the_first_sentence(spark):
     got = passage_dedup.repeats(docs(spark, rows)).collect()
     assert {(r.doc_id, r.keep_doc_id) for r in got if r.removed} == want
     assert all((r.begin_word, r.end_word) == (34, 85) for r in got)
+
+
+def test_html_names_of_state_keep_the_article():
+    """Page layout named in a class does not drop the page; elements named as a whole, first or last part are dropped."""
+    for opening in ('<body class="single has-sidebar">', '<body><main class="content with-sidebar">', '<body><article class="post comment-open">', '<body><div class="layout no-sidebar">', '<body><div class="content-sidebar-wrap">', '<html id="share"><body>'):
+        assert html_extract.main_texts([html_extract.blocks(opening + "<p>the text</p>")]) == ["the text"], opening
+    for name in ("ad", "cookie-notice", "site-footer", "box ad1", "comment-list open"):
+        assert html_extract.main_texts([html_extract.blocks(f'<body><div class="{name}">not this</div><p>the text</p>')]) == ["the text"], name
