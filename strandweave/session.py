@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import os
+import re
 import tempfile
 import uuid
 import weakref
@@ -41,11 +42,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a session in one process (local[n], as in tests) gets a folder of its own; a cluster is refused,
+    since its executors would not see a folder of the driver.
+    """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints_"))
+        if not named:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+            named = tempfile.mkdtemp(prefix="checkpoints_")
+        sc.setCheckpointDir(named)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
