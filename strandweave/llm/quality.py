@@ -2,17 +2,19 @@
 
 A linear model over whole texts minimises the non-negative unbiased risk
     prior * E_pos[l(g)] + max(0, E_unl[l(-g)] - prior * E_pos[l(-g)])
-with the logistic loss, from trusted positives, unlabelled documents and a class prior. The prior is estimated as the
-share of positives among the labelled training rows. The score's offset is set on labelled training rows so that 0.7
-separates the classes best.
+with the logistic loss, from trusted positives, unlabelled documents and a class prior; labelled negatives are not used.
+The prior is estimated from positives and unlabelled documents alone: half of each train a first model, and the prior is
+the least ratio of the shares of the other unlabelled documents and positives above a score (the best bin), repeated
+from the estimate. The score is the logistic function of the margin, 0.7 of it the decision.
 
 Features are of the text alone: square roots of the frequencies of pairs of byte classes, and shares of repeated words
-and lines. They are taken over all of every text; training uses bounded samples by hash order (POSITIVES, UNLABELLED,
-CALIBRATION), whose size does not depend on the input.
+and lines. They are taken over all of every text; training uses bounded samples by hash order (POSITIVES, UNLABELLED),
+whose size does not depend on the input, in one task of an executor; the driver gets the weights.
 
-A null text counts as empty and gets the score of the empty text. Repeated rows get equal scores. Without any trusted
-positive, every score is the prior (0.5 where nothing is labelled). Of several labels of a document each counts. Labels
-other than 0 and 1, or null, are ignored.
+A null text counts as empty and gets the score of the empty text. Repeated rows get equal scores; of rows with one
+doc_id one is a training row. Without any trusted positive every score is 0.5 (0.0 where negatives are labelled). Of
+several labels of a document each counts. Labels other than 0 and 1, or null, are ignored. Texts of any length are
+scored whole: memory is a few times a batch of about 1 MB, or the longest text. Extra columns are carried by `score`.
 """
 
 from __future__ import annotations
@@ -28,7 +30,9 @@ from pyspark.sql import functions as F
 from strandweave.llm import text
 from strandweave.session import ship
 
-POSITIVES, UNLABELLED, CALIBRATION = 6_000, 10_000, 6_000
+POSITIVES, UNLABELLED = 6_000, 10_000
+#: Rounds of prior estimation, the prior of the first one, and the fewest positives above a score that bounds it.
+PRIOR_ROUNDS, FIRST_PRIOR, LEAST_ABOVE = 3, 0.5, 30
 THRESHOLD = 0.7
 GROUPS = [b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t\r\x0b\x0c", b"\n", b".", b",", b"!", b"?", b"|", b"*", b"$", b"%", b"&", b"#", b"@", b":;", b"'\"`", b"()[]{}<>", b"-_/\\", b"+=~^"]
 CLASS = np.full(256, len(GROUPS), dtype=np.int64)
@@ -79,8 +83,7 @@ class Model:
     weight: np.ndarray
     mean: np.ndarray
     scale: np.ndarray
-    offset: float = 0.0
-    slope: float = 1.0
+    prior: float = 0.5
     constant: float | None = None
 
     def margin(self, x: np.ndarray) -> np.ndarray:
@@ -89,8 +92,11 @@ class Model:
     def score(self, x: np.ndarray) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(x), self.constant)
-        z = self.slope * (self.margin(x).astype(np.float64) - self.offset) + np.log(THRESHOLD / (1 - THRESHOLD))
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.margin(x).astype(np.float64), -30, 30)))
+
+
+def constant_model(score: float) -> Model:
+    return Model(np.zeros(1), np.zeros(1), np.zeros(1), constant=score)
 
 
 def train(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = 400, rate: float = 0.03, decay: float = 1e-4) -> Model:
@@ -114,25 +120,32 @@ def train(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = 400, rate
             best, kept = risk, w
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return Model(kept, mean, scale)
-
-
-def calibrate(model: Model, x: np.ndarray, y: np.ndarray, prior: float, unl: np.ndarray) -> Model:
-    """Set the offset where the mean of both classes' accuracies is best, or at the prior's quantile if one class lacks."""
-    g = model.margin(x) if len(x) else np.zeros(0)
-    if len(set(y.tolist())) == 2:
-        order = np.argsort(g, kind="stable")
-        s, c = g[order], y[order]
-        below = np.concatenate([[0], np.cumsum(c == 0)]) / max(1, (c == 0).sum())
-        above = 1 - np.concatenate([[0], np.cumsum(c == 1)]) / max(1, (c == 1).sum())
-        total = below + above
-        at = np.flatnonzero(total >= total.max() - 1e-12)
-        i = at[len(at) // 2]
-        model.offset = float((s[max(i - 1, 0)] + s[min(i, len(s) - 1)]) / 2)
-    else:
-        model.offset = float(np.quantile(model.margin(unl), 1 - prior)) if len(unl) else 0.0
-    model.slope = float(2 / (np.std(model.margin(unl)) + 1e-6)) if len(unl) else 1.0
-    return model
+    return Model(kept, mean, scale, prior)
+
+
+def best_bin(pos: np.ndarray, unl: np.ndarray) -> float:
+    """The class prior from margins of positives that did not train the model, and of unlabelled rows.
+
+    Above any margin the unlabelled share is at least the prior times the positives' share; the ratio is read where it
+    is least, allowing for the spread of both shares.
+    """
+    cut = np.sort(pos)[::-1]
+    above_pos = np.arange(1, len(cut) + 1) / len(cut)
+    above_unl = 1 - np.searchsorted(np.sort(unl), cut, side="left") / len(unl)
+    spread = np.sqrt(np.log(40) / 2) * (len(unl) ** -0.5 + len(pos) ** -0.5)
+    some = slice(min(LEAST_ABOVE, len(cut)) - 1, None)
+    at = int(np.argmin((above_unl[some] + spread) / above_pos[some]))
+    return float(np.clip(above_unl[some][at] / above_pos[some][at], 0.01, 0.99))
+
+
+def learn(pos: np.ndarray, unl: np.ndarray) -> Model:
+    """The model of these samples, with the prior that they give."""
+    prior = FIRST_PRIOR
+    if len(pos) >= 4:
+        for _ in range(PRIOR_ROUNDS):
+            first = train(pos[::2], unl[::2] if len(unl) > 1 else unl, prior)
+            prior = best_bin(first.margin(pos[1::2]), first.margin(unl[1::2] if len(unl) > 1 else unl))
+    return train(pos, unl, prior)
 
 
 def in_fold(column: str = "doc_id", parts: int = 4, fold: int = 2) -> Column:
@@ -143,7 +156,28 @@ def in_fold(column: str = "doc_id", parts: int = 4, fold: int = 2) -> Column:
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in text.pieces(batch, "text"):
-            yield pa.RecordBatch.from_arrays([part.column("use"), text.binary(features(part.column("text")))], ["use", "x"])
+            yield pa.RecordBatch.from_arrays([part.column("use"), part.column("doc_id"), text.binary(features(part.column("text")))], ["use", "doc_id", "x"])
+
+
+MODEL = "weight binary, mean binary, scale binary, prior double"
+
+
+def _learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(use, doc_id, x) of the samples, in any order, to one row of MODEL; none without positives or unlabelled rows."""
+    use, ids, xs = [], [], []
+    for batch in batches:
+        use.append(batch.column("use").to_numpy())
+        ids.append(batch.column("doc_id").to_numpy())
+        column = batch.column("x")
+        xs.append(np.frombuffer(column.buffers()[2], dtype=np.float32)[column.offset * WIDTH : (column.offset + len(column)) * WIDTH].reshape(-1, WIDTH).copy())
+    if not use:
+        return
+    use, x = np.concatenate(use), np.concatenate(xs)
+    order = np.lexsort((np.concatenate(ids), use))
+    use, x = use[order], x[order]
+    if (use == 0).any() and (use == 1).any():
+        m = learn(x[use == 1], x[use == 0])
+        yield pa.RecordBatch.from_arrays([pa.array([np.asarray(v, dtype=np.float32).tobytes()]) for v in (m.weight, m.mean, m.scale)] + [pa.array([m.prior])], ["weight", "mean", "scale", "prior"])
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
@@ -152,38 +186,51 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     known = labels.where("quality in (0, 1)").where(~in_fold()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     tally = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
     if not tally.get(1):
-        return Model(np.zeros(1), np.zeros(1), np.zeros(1), constant=0.5 if not tally else 0.0)
-    prior = min(tally[1] / sum(tally.values()), 0.99)
+        return constant_model(0.5 if not tally else 0.0)
     ordered = lambda df, seed, n: df.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(n)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     picks = ordered(known.where("quality = 1"), 1, POSITIVES).select("doc_id", F.lit(1).alias("use"))
-    for q in (0, 1):
-        picks = picks.union(ordered(known.where(F.col("quality") == q), 3, CALIBRATION // 2).select("doc_id", F.lit(10 + q)))
-    picks = picks.union(ordered(docs.where(~in_fold()).select(F.col("doc_id").cast("long").alias("doc_id")), 2, UNLABELLED).select("doc_id", F.lit(0)))
-    # At most POSITIVES + UNLABELLED + CALIBRATION ids, so the broadcast is bounded.
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picks), "doc_id")
-    rows = picked.select("use", "text").mapInArrow(text.tidied(_featured), "use int, x binary").orderBy("use", "x").toArrow()
-    use = rows.column("use").to_numpy()
-    x = np.frombuffer(b"".join(rows.column("x").to_pylist()), dtype=np.float32).reshape(-1, WIDTH)
-    pos, unl, cal = x[use == 1], x[use == 0], x[use >= 10]
-    if not len(pos) or not len(unl):
-        return Model(np.zeros(1), np.zeros(1), np.zeros(1), constant=prior)
-    return calibrate(train(pos, unl, prior), cal, use[use >= 10] - 10, prior, unl)
+    picks = picks.union(ordered(rows.where(~in_fold()).select("doc_id"), 2, UNLABELLED).select("doc_id", F.lit(0)))
+    # At most POSITIVES + UNLABELLED ids, so the broadcast is bounded; rows that repeat an id are one training row.
+    picked = rows.join(F.broadcast(picks.distinct()), "doc_id").select("use", "doc_id", "text")
+    featured = picked.mapInArrow(text.tidied(_featured), "use int, doc_id long, x binary").groupBy("use", "doc_id").agg(F.min("x").alias("x"))
+    found = featured.repartition(1).mapInArrow(text.tidied(_learned), MODEL).collect()
+    if not found:
+        return constant_model(0.5)
+    weight, mean, scale = (np.frombuffer(bytes(found[0][c]), dtype=np.float32) for c in ("weight", "mean", "scale"))
+    return Model(weight, mean, scale, found[0]["prior"])
 
 
 def score(docs: DataFrame, model: Model, carry: list[str]) -> DataFrame:
-    """docs' columns in `carry`, then score and predicted, for whole texts."""
+    """docs' columns in `carry`, then score and predicted, for whole texts.
+
+    Where `carry` has a column of one of these names, the carried one comes first and `scored_names` tells the new names.
+    """
     spark = ship(docs.sparkSession)
     shared = spark.sparkContext.broadcast(model)
-    rows = docs.select(*[F.col(f"`{c}`") for c in carry], F.col("text").cast("string").alias("_text"))
-    fields = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in carry)
+    # Inside, columns go by position, so that names in `carry` cannot clash with ours.
+    inner = [f"c{i}" for i in range(len(carry))]
+    rows = docs.select(*[F.col(f"`{c}`").alias(i) for c, i in zip(carry, inner, strict=True)], F.col("text").cast("string").alias("body"))
+    fields = "".join(f"{i} {rows.schema[i].dataType.simpleString()}, " for i in inner)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text.pieces(batch, "_text"):
-                s = shared.value.score(features(part.column("_text")))
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in carry], pa.array(s, pa.float64()), pa.array((s >= THRESHOLD).astype(np.int32))], [*carry, "score", "predicted"])
+            for part in text.pieces(batch, "body"):
+                s = shared.value.score(features(part.column("body")))
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in inner], pa.array(s, pa.float64()), pa.array((s >= THRESHOLD).astype(np.int32))], [*inner, "score", "predicted"])
+
+    return rows.mapInArrow(text.tidied(run), f"{fields}score double, predicted int").toDF(*carry, *scored_names(carry))
+
+
+def scored_names(carry: list[str]) -> tuple[str, str]:
+    """Names of the score and of the decision beside the carried columns."""
+    return tuple(n + "_" * next(k for k in range(len(carry) + 1) if n + "_" * k not in carry) for n in ("score", "predicted"))
+
 
-    return rows.mapInArrow(text.tidied(run), f"{fields}, score double, predicted int")
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs, with their columns, whose predicted class is 1."""
+    scored = score(docs, model, docs.columns)
+    return scored.where(F.col(f"`{scored_names(docs.columns)[1]}`") == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

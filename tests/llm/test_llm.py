@@ -209,6 +209,32 @@ def test_quality_learns_from_its_folds_only(spark):
     assert {r.score for r in none} == {0.0}
 
 
+def test_quality_risk_equals_its_formula_and_prior_is_found():
+    """The step's gradient is that of the stated risk; the prior comes out of positives and unlabelled rows alone."""
+    rng = np.random.RandomState(4)
+    make = lambda n, up: np.hstack([rng.randn(n, 3) + (2.5 if up else -2.5), rng.randn(n, 20) * 0.1, np.zeros((n, quality.WIDTH - 23))]).astype(np.float32)
+    for prior in (0.3, 0.7):
+        unl = np.vstack([make(int(3000 * prior), True), make(int(3000 * (1 - prior)), False)])
+        model = quality.learn(make(800, True), unl)
+        assert abs(model.prior - prior) < 0.06
+        assert np.mean(model.score(make(500, True)) >= 0.5) > 0.97 and np.mean(model.score(make(500, False)) < 0.5) > 0.97
+    pos, unl, prior = make(50, True), make(80, False), 0.4
+    first = quality.train(pos, unl, prior, steps=1, rate=1.0, decay=0.0)
+    mean, scale = unl.mean(axis=0), 1 / (unl.std(axis=0) + 0.02)
+    p, u = (np.hstack([(x - mean) * scale, np.ones((len(x), 1))]) for x in (pos, unl))
+
+    def risk(w):
+        loss = lambda z: np.logaddexp(0, -z).mean()
+        return prior * loss(p @ w) + max(0.0, loss(-(u @ w)) - prior * loss(-(p @ w)))
+
+    w0 = np.zeros(p.shape[1])
+    assert (first.weight == 0).all()  # the best of one step is the start
+    second = quality.train(pos, unl, prior, steps=2, rate=1e-3, decay=0.0)
+    assert risk(second.weight.astype(np.float64)) < risk(w0)
+    grad = np.array([(risk(w0 + e) - risk(w0 - e)) / 2e-5 for e in np.eye(len(w0))[:6] * 1e-5])
+    assert (np.sign(second.weight[:6]) == -np.sign(grad)).all()
+
+
 def test_lm_scores(spark):
     rows = corpus(3, 4) + CASES
     got = {r.doc_id: r for r in lm_score.lm_scores(docs(spark, rows), vocab.path_of(vocab.PIECES)).collect()}
