@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir), with docs what the stage before it kept, and returns a DataFrame with the columns
 of documents; the last one adds the encoding. Stages are cut from each other by Parquet in the shared folder.
+
+Every stage: an empty table gives an empty table; a null text counts as empty; of rows with a null doc_id near dedup and
+mixing keep each; repeated rows are separate rows until exact dedup leaves one of them, then as often as the mix takes
+them; texts of any length are read whole; columns that documents have beside the usual ones are carried, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -9,7 +14,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from strandweave.llm import bpe, exact_dedup, mixing, near_dedup, quality, vocab
 from strandweave.session import cut, ship, table
@@ -21,7 +25,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that the positive-unlabelled classifier accepts (score of 0.7 or more)."""
     ship(spark)
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model, docs.columns).where("predicted = 1").select(*docs.columns)
+    return quality.accepted(docs, model)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,9 +36,9 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (Jaccard similarity of 0.8 or more over five-word shingles)."""
     ship(spark)
-    kept = near_dedup.near_duplicates(docs, percent=80).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    kept = near_dedup.near_duplicates(docs, percent=80).where("kept").select("doc_id").distinct()
     # Rows without an id have no links and stay.
-    return docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").union(docs.where("doc_id is null"))
+    return docs.join(kept, docs["doc_id"] == kept["doc_id"], "left_semi").union(docs.where("doc_id is null"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
