@@ -101,16 +101,21 @@ class Counter:
             overlap = self.overlap
             while True:
                 start = max(begin, end - overlap)
+                if overlap > self.overlap and not any(c in SPACE for c in text_[start:end]):
+                    overlap = max(overlap, end - begin)  # no boundary can be there: grow the chunk at once
+                    start = begin
                 stop = min(size, start + max(self.chunk, 2 * overlap))
-                right = self._encode(text_, start, stop)
-                place = self._common(text_, left, right, start, end, since)
-                if place is not None:
-                    break
+                if start > begin or any(c in SPACE for c in text_[start:end]):
+                    right = self._encode(text_, start, stop)
+                    place = self._common(text_, left, right, start, end, since)
+                    if place is not None:
+                        break
                 # Nothing in the overlap agrees. It is widened to the left; once it covers all of the chunk, the chunk itself grows.
                 self.widened += 1
                 if start == begin:
-                    end = min(size, end + self.chunk * 2)
-                    left, since = self._encode(text_, begin, end), self._after(left, since, text_, begin, end)
+                    end = min(size, begin + 2 * (end - begin))  # doubled, so that all encodings together stay linear
+                    grown = self._encode(text_, begin, end)
+                    left, since = grown, self._after(left, since, grown)
                     if end == size:
                         return total + len(left) - since
                 overlap *= 2
@@ -118,12 +123,13 @@ class Counter:
             begin, end, left, since = start, stop, right, place[1]
         return total + len(left) - since
 
-    def _after(self, old: list, since: int, text_: str, begin: int, end: int) -> int:
+    @staticmethod
+    def _after(old: list, since: int, grown: list) -> int:
         """`since` in the encoding of the grown chunk: tokens before a spliced boundary do not change."""
         if since == 0:
             return 0
         at = old[since][1]
-        return next(i for i, t in enumerate(self._encode(text_, begin, end)) if t[1] == at)
+        return next(i for i, t in enumerate(grown) if t[1] == at)
 
     def _common(self, text_: str, left: list, right: list, start: int, end: int, since: int) -> tuple[int, int] | None:
         """Indexes in left and right of the first token of a stable common boundary."""
