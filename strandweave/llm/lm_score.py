@@ -1,26 +1,31 @@
 """Language-model scores by subword lattice likelihood.
 
-A word's lattice holds every segmentation of it into pieces of an existing vocabulary. Pieces start with the vocabulary's
-own scores (as a rank prior) and take on their expected numbers in the distinct words of the training texts in ROUNDS
-rounds; a log-space forward recursion sums over all segmentations. A word ends after a piece with a fixed probability,
-so the lattice is a distribution over all words. Its mass is what absolute discounting takes from the training counts.
+The units are the pieces of an existing vocabulary and, as units of their own, the words of the training texts. A word's
+lattice holds every segmentation of it into units: all sequences of pieces, and the arc of the whole word where training
+has it. A log-space forward recursion sums over all of them, and the score of a text is the log10 of its marginal
+probability, the sum over its words and its end.
 
-Texts come in languages, so there is one such model for each of the CLASSES most frequent values of `lang` among the
-training texts (others share the last one; without that column there is one model):
+Pieces start with the vocabulary's own scores (as a rank prior) and take on their expected numbers in the distinct words
+of the training texts in ROUNDS rounds of forward and backward recursion. A word ends after a piece with a fixed
+probability, so the piece arcs are a distribution over all words; the whole-word arcs take their discounted counts, and
+the discount is the mass of the piece arcs. What is gathered from the corpus, the whole-word units, grows with it.
 
-    p_z(word) = max(c_z - d, 0) / N_z + (d V_z / N_z) * (SHARED * c / N + (1 - SHARED) * lattice_z(word))
+Texts come in languages, so there is one such lattice for each of the CLASSES most frequent values of `lang` among the
+training texts (others share the last one; without that column there is one):
+
+    p_z(word) = max(c_z - d, 0) / N_z + (d V_z / N_z) * (SHARED * c / N + (1 - SHARED) * pieces_z(word))
     p_z(end)  = (training texts of z) / N_z
 
-A text's own earlier words take part with a weight that grows with their number t: (1 - g) p_z(word) + g k / t, where
-k of the t words before were this one and g = CACHE * t / (t + HALF). The probability of a text is the mean over classes,
-weighted by their shares of the training texts, of the product over its words and its end; lang of the text itself is
-not looked at. That makes a proper probability of the text.
+The probability of a text is the mean over classes, weighted by their shares of the training texts, of the product over
+its words and its end; lang of the text itself is not looked at. That is a proper probability of the text.
 
 Counts cover all training texts and stay distributed. The HOT most frequent words (a bound on what is broadcast) are
 scored where the text is; occurrences of all others meet their counts in a join, one row a text and word.
 
 Null texts count as empty: one token, the end. Repeated rows are scored each. Rows with a null doc_id are training rows.
-Without training texts base scores are 0 and the model has the lattice's prior alone. Extra columns are ignored.
+Without training texts base scores are 0 and the model has the lattice's prior alone. Words of any length are scored
+whole: those over LONG_WORD characters in blocks of BLOCK places, with memory for a few numbers a character. An empty
+table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,13 +46,12 @@ from strandweave.session import cut, ship
 U = np.uint64
 HOT = 400_000
 CLASSES, SHARED = 6, 0.2
-CACHE, HALF = 0.25, 150.0
 PRIOR = 500.0
 ROUNDS = 2
 FALLBACK = 1e-3
 FLUSH = 300_000
 GATHER = 40_000
-LONG_WORD = 64
+LONG_WORD, BLOCK = 64, 8192
 _pieces: dict[str, object] = {}
 
 
@@ -122,12 +126,18 @@ class Lattice:
         """ln of the marginal probability of each word, a row each class."""
         out = np.full((len(self.stop), len(words)), -np.inf)
         for own, codes in self._alike(words):
-            out[:, own] = self._forward(codes)[0]
+            if codes.shape[1] > LONG_WORD:
+                out[:, own[0]] = self._far(codes[0])[:, -1] + np.log(self.stop)
+            else:
+                out[:, own] = self._forward(codes)[0]
         return out
 
     def expect(self, words: list[str], seen: np.ndarray) -> None:
         """Add the expected numbers of pieces in the words, each counted once, to seen[0] (first) and seen[1] (later); of one class."""
         for _, codes in self._alike(words):
+            if codes.shape[1] > LONG_WORD:
+                self._expect_far(codes[0], seen)
+                continue
             whole, forward, edges = self._forward(codes, keep=True)
             rows, size = codes.shape
             backward = [np.full((1, rows), -np.inf) for _ in range(size)] + [np.full((1, rows), np.log(self.stop[0]))]
@@ -139,6 +149,64 @@ class Lattice:
                     seen[0 if begin == 0 else 1] += np.bincount(at[some], weights=share[some], minlength=seen.shape[1])
                     backward[begin] = np.logaddexp(backward[begin], weight + backward[end])
 
+    def _steps(self, codes: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For pieces that begin at low..high-1 of a long word: places in the vocabulary, ln weight without and with the fallback; [class,] length - 1, begin."""
+        size, widest, classes = len(codes), self.widest, len(self.stop)
+        total, down = char_hashes(codes[low : min(size, high + widest)])
+        n = high - low
+        at = np.zeros((widest, n), dtype=np.int64)
+        piece = np.full((classes, widest, n), -np.inf)
+        begin = np.arange(n)
+        go_on = np.where(begin + low > 0, np.log1p(-self.stop)[:, None], 0.0)
+        for length in range(1, widest + 1):
+            b = begin[begin + low + length <= size]
+            if not len(b):
+                break
+            h = text.mix((total[b + length] - total[b]) * down[b] + U(length))
+            i = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+            at[length - 1, : len(b)] = i
+            found = self.hashes[i] == h
+            piece[:, length - 1, : len(b)] = np.where(found, np.where(b + low > 0, self.later[:, i], self.first[:, i]) + go_on[:, : len(b)], -np.inf)
+        weight = piece.copy()
+        own = codes[low:high]
+        width = np.where(own < 0x80, 1, np.where(own < 0x800, 2, np.where(own < 0x10000, 3, 4)))
+        single = np.where(begin + low > 0, np.log(FALLBACK) - width * np.log(256.0), -np.inf)
+        weight[:, 0] = np.logaddexp(weight[:, 0], single + go_on)
+        return at, piece, weight
+
+    def _far(self, codes: np.ndarray) -> np.ndarray:
+        """ln of the forward sums at every place of one long word, a row each class."""
+        size, widest, classes = len(codes), self.widest, len(self.stop)
+        out = np.full((classes, size + widest + 1), -np.inf)
+        out[:, 0] = 0.0
+        for low in range(0, size, BLOCK):
+            high = min(size, low + BLOCK)
+            weight = np.ascontiguousarray(self._steps(codes, low, high)[2].transpose(2, 0, 1))
+            for begin in range(low, high):
+                ahead = out[:, begin + 1 : begin + 1 + widest]
+                np.logaddexp(ahead, out[:, begin : begin + 1] + weight[begin - low], out=ahead)
+        return out[:, : size + 1]
+
+    def _expect_far(self, codes: np.ndarray, seen: np.ndarray) -> None:
+        """What `expect` adds for one long word; of one class."""
+        size, widest = len(codes), self.widest
+        forward = self._far(codes)[0]
+        backward = np.full(size + widest + 1, -np.inf)
+        backward[size] = np.log(self.stop[0])
+        whole = forward[size] + backward[size]
+        for low in range((size - 1) // BLOCK * BLOCK, -1, -BLOCK):
+            high = min(size, low + BLOCK)
+            at, piece, weight = self._steps(codes, low, high)
+            down = np.ascontiguousarray(weight[0].T)
+            for begin in range(high - 1, low - 1, -1):
+                backward[begin] = np.logaddexp.reduce(down[begin - low] + backward[begin + 1 : begin + 1 + widest])
+            for length in range(1, widest + 1):
+                begin = np.arange(low, high)
+                share = np.exp(forward[low:high] + piece[0, length - 1] + backward[low + length : high + length] - whole)
+                for row, here in ((0, begin == 0), (1, begin > 0)):
+                    some = here & (share > 0)
+                    seen[row] += np.bincount(at[length - 1][some], weights=share[some], minlength=seen.shape[1])
+
     @staticmethod
     def _alike(words: list[str]) -> Iterator[tuple[list[int], np.ndarray]]:
         """Words of equal length: their places, and their code points after the word mark, one row each."""
@@ -146,7 +214,7 @@ class Lattice:
         for i, w in enumerate(words):
             by_size.setdefault(len(w), []).append(i)
         for size, places in by_size.items():
-            step = 4096 if size <= LONG_WORD else 1
+            step = 4096 if size < LONG_WORD else 1
             for a in range(0, len(places), step):
                 own = places[a : a + step]
                 codes = np.frombuffer("".join([words[i] for i in own]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(len(own), size)
@@ -293,7 +361,7 @@ def _hot_words(model) -> Callable:
     return run
 
 
-DOC = "rid long, doc_id long, held_out boolean, word string, m int, xs array<double>, n_tokens long, n_known long, base double, scores array<double>"
+DOC = "rid long, doc_id long, held_out boolean, word string, m int, n_tokens long, n_known long, base double, scores array<double>"
 DOC_NAMES = [f.split()[0] for f in DOC.split(", ")]
 
 
@@ -311,49 +379,37 @@ def _texts(stats: Statistics, hot) -> Callable:
                 h = text.span_hashes(data, begins, ends)
                 n = np.diff(bounds)
                 row = np.repeat(np.arange(rows), n)
-                t = np.arange(len(h)) - bounds[:-1][row]  # words before
                 order = np.lexsort((h, row))
-                hs, rs, ts = h[order], row[order], t[order]
+                hs, rs = h[order], row[order]
                 new = np.ones(len(hs), dtype=bool)
                 new[1:] = (hs[1:] != hs[:-1]) | (rs[1:] != rs[:-1])
                 heads = np.flatnonzero(new)
                 size = np.diff(np.concatenate([heads, [len(hs)]]))
-                k = np.arange(len(hs)) - np.repeat(heads, size)
-                g = CACHE * ts / (ts + HALF)
-                x = g * k / np.maximum(ts, 1) / (1 - g)
-                score = np.bincount(rs, weights=np.log10(1 - g), minlength=rows) + np.zeros((len(static), 1))
                 at = np.minimum(np.searchsorted(hashes, hs[heads]), max(len(hashes) - 1, 0))
                 known = hashes[at] == hs[heads] if len(hashes) else np.zeros(len(heads), bool)
-                each = np.repeat(known, size)
-                for z in range(len(static)):
-                    p = np.repeat(static[z, at[known]], size[known])
-                    score[z] += np.bincount(rs[each], weights=np.log10(p + x[each]), minlength=rows)
+                score = np.stack([np.bincount(rs[heads][known], weights=size[known] * p[at[known]], minlength=rows) for p in static])
                 c = np.where(known, counts[at], 0) if len(hashes) else np.zeros(len(heads))
                 base = np.bincount(rs[heads][known], weights=size[known] * stats.base(c[known]), minlength=rows)
                 n_known = np.bincount(rs[heads][known], weights=size[known], minlength=rows).astype(np.int64)
-                last = CACHE * n / (n + HALF)
-                score += np.log10(1 - last) + np.log10(np.maximum(stats.end, 1e-300))[:, None]
+                score += np.log10(np.maximum(stats.end, 1e-300))[:, None]
                 base = base + stats.base(float(stats.texts))
                 rid = part.column("rid").to_numpy()
                 none = lambda kind, m: pa.nulls(m, kind)
-                yield pa.RecordBatch.from_arrays([part.column("rid"), part.column("doc_id"), part.column("held_out"), none(pa.string(), rows), none(pa.int32(), rows), none(pa.list_(pa.float64()), rows), pa.array(n + 1), pa.array(n_known + (stats.texts > 0)), pa.array(base), pa.array(list(score.T), pa.list_(pa.float64()))], DOC_NAMES)
+                yield pa.RecordBatch.from_arrays([part.column("rid"), part.column("doc_id"), part.column("held_out"), none(pa.string(), rows), none(pa.int32(), rows), pa.array(n + 1), pa.array(n_known + (stats.texts > 0)), pa.array(base), pa.array(list(score.T), pa.list_(pa.float64()))], DOC_NAMES)
                 rare = np.flatnonzero(~known)
                 if len(rare):
                     first = order[heads[rare]]
                     width = ends[first] - begins[first]
                     place = np.repeat(begins[first] - np.concatenate([[0], np.cumsum(width)[:-1]]), width) + np.arange(width.sum())
                     words = pa.LargeStringArray.from_buffers(len(rare), pa.py_buffer(np.concatenate([[0], np.cumsum(width)]).astype(np.int64).tobytes()), pa.py_buffer(data[place].tobytes())).cast(pa.string())
-                    more = size[rare] - 1
-                    inner = np.repeat(heads[rare] + 1 - np.concatenate([[0], np.cumsum(more)[:-1]]), more) + np.arange(more.sum())
-                    xs = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(more)]).astype(np.int32)), pa.array(x[inner]))
                     m = len(rare)
-                    yield pa.RecordBatch.from_arrays([pa.array(rid[rs[heads[rare]]]), none(pa.int64(), m), none(pa.bool_(), m), words, pa.array(size[rare].astype(np.int32)), xs, none(pa.int64(), m), none(pa.int64(), m), none(pa.float64(), m), none(pa.list_(pa.float64()), m)], DOC_NAMES)
+                    yield pa.RecordBatch.from_arrays([pa.array(rid[rs[heads[rare]]]), none(pa.int64(), m), none(pa.bool_(), m), words, pa.array(size[rare].astype(np.int32)), none(pa.int64(), m), none(pa.int64(), m), none(pa.float64(), m), none(pa.list_(pa.float64()), m)], DOC_NAMES)
 
     return run
 
 
 def _rare(stats: Statistics, model) -> Callable:
-    """(rid, word, m, xs, c, cs) to (rid, n_known, base, s0, s1, ...)."""
+    """(rid, word, m, c, cs) to (rid, n_known, base, s0, s1, ...)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text.gathered(batches, GATHER):
@@ -363,12 +419,7 @@ def _rare(stats: Statistics, model) -> Callable:
             c = batch.column("c").to_numpy(zero_copy_only=False)
             m = batch.column("m").to_numpy()
             p = stats.static(c, counts_of(batch.column("cs"), classes), lat)
-            lists = batch.column("xs")
-            more = np.diff(lists.offsets.to_numpy())
-            inner = lists.flatten().to_numpy(zero_copy_only=False)
-            owner = np.repeat(np.arange(len(c)), more)
-            with np.errstate(divide="ignore"):
-                scores = [np.log10(q) + np.bincount(owner, weights=np.log10(q[owner] + inner), minlength=len(q)) for q in p]
+            scores = m * np.log10(p)
             yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(np.where(c > 0, m, 0).astype(np.int64)), pa.array(m * stats.base(c.astype(np.float64))), *map(pa.array, scores)], ["rid", "n_known", "base", *[f"s{z}" for z in range(classes)]])
 
     return run
@@ -431,10 +482,10 @@ def lm_scores(docs: DataFrame, path: str, parts: int = 7, fold: int = 2) -> Data
     h = column("h").to_numpy().astype(U)
     order = np.argsort(h)
     c = column("c").to_numpy()
-    hot = spark.sparkContext.broadcast((h[order], c[order], stats.static(c, counts_of(column("cs"), classes), counts_of(column("lat"), classes))[:, order]))
+    hot = spark.sparkContext.broadcast((h[order], c[order], np.log10(stats.static(c, counts_of(column("cs"), classes), counts_of(column("lat"), classes))[:, order])))
     scored = cut(rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "held_out", "text").mapInArrow(text.tidied(_texts(stats, hot)), DOC))
-    rare = scored.where("word is not null").select("rid", "word", "m", "xs")
-    rare = rare.join(counts.where(~is_hot), "word", "left").select("rid", "word", "m", "xs", F.coalesce("c", F.lit(0)).cast("long").alias("c"), "cs")
+    rare = scored.where("word is not null").select("rid", "word", "m")
+    rare = rare.join(counts.where(~is_hot), "word", "left").select("rid", "word", "m", F.coalesce("c", F.lit(0)).cast("long").alias("c"), "cs")
     names = [f"s{z}" for z in range(classes)]
     sums = rare.mapInArrow(text.tidied(_rare(stats, model)), "rid long, n_known long, base double" + "".join(f", {n} double" for n in names)).groupBy("rid")
     sums = sums.agg(F.sum("n_known").alias("k"), F.sum("base").alias("b"), *[F.sum(n).alias(n) for n in names])

@@ -50,15 +50,15 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator
         begin = end
 
 
-def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
-    """Batches of about `rows` rows, for work whose cost is mostly by the batch; for short rows only."""
-    held, n = [], 0
+def gathered(batches: Iterator[pa.RecordBatch], rows: int, most: int = 32 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches of about `rows` rows, or `most` bytes, for work whose cost is mostly by the batch."""
+    held, n, size = [], 0, 0
     for batch in batches:
         held.append(batch)
-        n += batch.num_rows
-        if n >= rows:
+        n, size = n + batch.num_rows, size + batch.nbytes
+        if n >= rows or size >= most:
             yield pa.concat_batches(held)
-            held, n = [], 0
+            held, n, size = [], 0, 0
     if n:
         yield pa.concat_batches(held)
 

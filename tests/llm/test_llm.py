@@ -282,7 +282,7 @@ def test_lm_scores(spark):
         assert math.isclose(g.base_score, base, rel_tol=1e-9) and g.score < 0 and math.isfinite(g.score)
 
 
-def test_lattice_sums_all_segmentations_and_is_a_distribution():
+def test_lattice_sums_all_segmentations_and_is_a_distribution(monkeypatch):
     lattice = lm_score.Lattice.build(open(vocab.path_of(vocab.PIECES), "rb").read())
     weight = {int(h): (f, s) for h, f, s in zip(lattice.hashes, lattice.first[0], lattice.later[0], strict=True)}
 
@@ -309,6 +309,41 @@ def test_lattice_sums_all_segmentations_and_is_a_distribution():
     seen = np.zeros((2, len(lattice.hashes)))
     lattice.expect(some, seen)
     assert seen[0].sum() == pytest.approx(len(some))
+    # Long words go another way, whose sums and expected numbers are the same.
+    monkeypatch.setattr(lm_score, "LONG_WORD", 3)
+    monkeypatch.setattr(lm_score, "BLOCK", 2)
+    assert np.allclose(lattice.score(some)[0], [brute(w) for w in some])
+    far = np.zeros_like(seen)
+    lattice.expect(some, far)
+    assert np.allclose(far, seen)
+
+
+def test_scores_of_documents_equal_brute_force_over_whole_lattices(spark):
+    """Pieces, whole words, classes and ends put together again in plain Python, with a word of many characters."""
+    rows = corpus(3, 3) + CASES + [(400, "ab" * 300 + " one", "fr", "s", 0), (401, "one deux deux", "fr", "s", 0), (402, "deux " + "中" * 70, "fr", "s", 0)]
+    table, path = docs(spark, rows), vocab.path_of(vocab.PIECES)
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    counts, stats, lattice = lm_score.fit(table, path, lm_score.in_fold("doc_id", 7, 2))
+    train = [r for r in rows if not held(r[0])]
+    by_lang = collections.Counter(r[2] for r in train)
+    order = sorted(by_lang, key=lambda x: (-by_lang[x], x is not None, x or ""))
+    assert len(order) == len(lattice.stop) <= lm_score.CLASSES
+    own = [collections.Counter(w for r in train if r[2] == x for w in words(r[1])) for x in order]
+    both = sum(own, collections.Counter())
+    pieces = lambda w: np.exp(lattice.score([w])[:, 0])  # noqa: E731  tested above
+    d, shared = stats.discount, lm_score.SHARED
+    got = {r.doc_id: r.score for r in lm_score.lm_scores(table, path).collect()}
+    for r in rows[::9] + rows[-12:]:
+        logs = []
+        for z, x in enumerate(order):
+            n = sum(own[z].values()) + by_lang[x]
+            total = math.log10(by_lang[x] / len(train)) + math.log10(by_lang[x] / n)
+            for w in words(r[1]):
+                free = max(d * len(own[z]) / n, 1e-9)
+                total += math.log10(max(own[z][w] - d, 0) / n + free * (shared * both[w] / sum(both.values()) + (1 - shared) * pieces(w)[z]))
+            logs.append(total)
+        want = max(logs) + math.log10(sum(10 ** (x - max(logs)) for x in logs))
+        assert math.isclose(got[r[0]], want, rel_tol=1e-9), r[0]
 
 
 def test_fingerprints(spark):
