@@ -8,14 +8,18 @@ probability under 1e-5; every pair within RADIUS is found:
   a chunk with at most one of them (12 chunks with two each make 24). Allowed errors are enumerated by masking each
   symbol of each chunk in turn: 60 keys a text, and the pair shares one of them.
 - Equal sets are collapsed first; copies cost one row each.
-- Components of close signatures are formed from links of each bucket's members with its smallest one, then from blocks
-  of bounded size of the buckets that still hold several components. A block gives only links that join components, so
-  a group of n near copies gives about n rows, not the square.
-- Within each component all full sets are compared, again in blocks of bounded size dealt over tasks, by products of
-  their incidence matrices. Every pair within RADIUS is confirmed or refused on its full sets; nothing is capped.
+- Components of close signatures are formed from links of each bucket's members with its smallest one. Where a bucket
+  still holds several components, the members outside its largest one are compared with all members, in blocks of
+  bounded size. A block gives only links that join components, so a group of n near copies gives about n rows.
+- Within each component all full sets are compared by products of their incidence matrices: in one block where they fit
+  into one. In a larger component about HUBS members are compared with all first, and what this leaves outside its
+  largest part is then compared with all. Rows are dealt n + HUBS * n / SETS times, then n + m * n / SETS times for m
+  members left outside, so that n near copies are n rows, not n squared / SETS, unless they hardly resemble each other.
+  Every pair within RADIUS is confirmed or refused on its full sets, or lies in a part already joined; nothing is capped.
 
 Nulls and texts without words have an empty set, are linked with nothing and stay. doc_id identifies a document; rows
-with a null doc_id are returned without links. Extra columns are ignored.
+with a null doc_id are returned without links. Repeated rows are linked as equal sets. An empty table gives no rows. Texts
+of any length are read whole; a block of sets holds SET_BYTES or one set. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,6 +41,8 @@ RADIUS = 2 * CHUNKS - 1
 BLOCK = 1024
 #: A block of full sets holds about this many, and bytes.
 SETS, SET_BYTES = 512, 8_000_000
+#: Members of a large component that are compared with all others first; salts of the join of keys with their buckets.
+HUBS, SALTS = 8, 8
 _rng = np.random.RandomState(20240229)
 _ADD = _rng.randint(0, 2**63 - 1, SYMBOLS).astype(U)
 _MUL = (_rng.randint(0, 2**63 - 1, SYMBOLS).astype(U) << U(1)) | U(1)
@@ -116,22 +122,22 @@ def pairs_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def across(radius: int) -> Callable:
-    """Rows (key, bi, bj, blk, rid, label, sig) sorted by (key, bi, bj) to links (a, b) between labels.
+    """Rows (key, b, u, side, rid, label, sig) sorted by (key, b, u) to links (a, b) between labels.
 
-    A group holds two blocks of about BLOCK rows. Signatures of different labels within the radius join their labels,
-    and only links that join are given: fewer than rows, however many pairs are close.
+    A group holds a block of a bucket's rows (side 0) and a block of those to compare with them (side 1), each of about
+    BLOCK rows. Signatures of different labels within the radius join their labels, and only links that join are given:
+    fewer than rows, however many pairs are close.
     """
 
     def compare(rows: list[tuple]) -> list[tuple[int, int]]:
-        bi, bj = rows[0][1], rows[0][2]
+        side = np.array([r[3] for r in rows])
         rid, label = np.array([r[4] for r in rows]), np.array([r[5] for r in rows])
         sig = np.frombuffer(b"".join(r[6] for r in rows), dtype=np.uint16).reshape(len(rows), -1)
-        block = np.array([r[3] for r in rows])
         root = np.unique(label, return_inverse=True)[1]
-        right = np.flatnonzero(block == bj)
+        every = np.flatnonzero(side == 0)
         out = []
-        for i in np.flatnonzero(block == bi):
-            at = right[root[right] != root[i]]
+        for i in np.flatnonzero(side == 1):
+            at = every[root[every] != root[i]]
             at = at[(sig[at] != sig[i]).sum(axis=1) <= radius]
             while len(at):
                 out.append((rid[i], rid[at[0]]))
@@ -139,10 +145,17 @@ def across(radius: int) -> Callable:
                 at = at[root[at] != root[i]]
         return out
 
+    return _groupwise(compare, ["key", "b", "u", "side", "rid", "label", "sig"])
+
+
+def _groupwise(compare: Callable, names: list[str]) -> Callable:
+    """A mapInArrow function that gives the links `compare` finds in each group of the first three columns."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, int]] = []
-        for rows in grouped(batches, 3, ["key", "bi", "bj", "blk", "rid", "label", "sig"]):
-            held += compare(rows)
+        for rows in grouped(batches, 3, names):
+            if len(rows) > 1:
+                held += compare(rows)
             if len(held) > 10_000:
                 yield pairs_batch(held)
                 held = []
@@ -152,8 +165,9 @@ def across(radius: int) -> Callable:
     return run
 
 
-def common(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all intersections of the sets, as products of their incidence matrix over elements that repeat."""
+def common(sets: list[np.ndarray], first: np.ndarray | None = None) -> np.ndarray:
+    """Sizes of the intersections of the sets at `first` (of all) with all sets, as products of their incidence matrix."""
+    first = np.arange(len(sets)) if first is None else first
     owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
     _, element, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     shared = times > 1
@@ -162,57 +176,42 @@ def common(sets: list[np.ndarray]) -> np.ndarray:
     owner, column = owner[keep], column[keep]
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
-    out = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    out = np.zeros((len(first), len(sets)), dtype=np.float32)
     for at in range(0, int(shared.sum()), 2048):
         b, e = np.searchsorted(column, [at, at + 2048])
         part = np.zeros((len(sets), 2048), dtype=np.float32)
         part[owner[b:e], column[b:e] - at] = 1
-        out += part @ part.T
+        out += part[first] @ part.T
     return out
 
 
 def verified(percent: int) -> Callable:
-    """Rows (label, bi, bj, blk, rid, shs) sorted by (label, bi, bj) to links (a, b) that stand for all links among them.
+    """Rows (label, b, u, side, rid, shs) sorted by (label, b, u) to links (a, b) that stand for all links among them.
 
-    The Jaccard similarity of every pair of the two blocks is computed from the full sets; of the links found, a star a
-    component is given: fewer than rows.
+    The Jaccard similarity of each set of side 1 with each of side 0 is computed from the full sets, that of all pairs
+    where there is no side 1. Of the links found, a star a component is given: fewer than rows.
     """
 
     def compare(rows: list[tuple]) -> list[tuple[int, int]]:
         sets = [np.frombuffer(r[5], dtype=U) for r in rows]
+        side, rid = np.array([r[3] for r in rows]), np.array([r[4] for r in rows])
         size = np.array([len(x) for x in sets], dtype=np.float64)
-        both = common(sets).astype(np.float64)
-        near = (both > 0) & (100 * both >= percent * (size[:, None] + size[None, :] - both))
-        bi, bj = rows[0][1], rows[0][2]
-        if bi != bj:  # pairs inside a block belong to another group
-            block = np.array([r[3] for r in rows])
-            near &= block[:, None] != block[None, :]
-        out, free = [], near.any(axis=1)
-        for i in range(len(rows)):
-            if not free[i]:
-                continue
-            reached = np.zeros(len(rows), dtype=bool)
-            reached[i], fresh = True, np.array([i])
-            while len(fresh):
-                step = near[fresh].any(axis=0) & ~reached
-                reached |= step
-                fresh = np.flatnonzero(step)
-            free &= ~reached
-            out += [(rows[i][4], rows[j][4]) for j in np.flatnonzero(reached) if j != i]
+        first = np.flatnonzero(side == 1) if (side == 1).any() else np.arange(len(rows))
+        both = common(sets, first).astype(np.float64)
+        near = (both > 0) & (100 * both >= percent * (size[first, None] + size[None, :] - both)) & (rid[first, None] != rid[None, :])
+        if len(first) < len(rows):
+            near &= (side == 0)[None, :]
+        out, root = [], np.unique(rid, return_inverse=True)[1]
+        for i, at in zip(first, near, strict=True):
+            at = np.flatnonzero(at)
+            at = at[root[at] != root[i]]
+            while len(at):
+                out.append((rid[i], rid[at[0]]))
+                root[root == root[at[0]]] = root[i]
+                at = at[root[at] != root[i]]
         return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int]] = []
-        for rows in grouped(batches, 3, ["label", "bi", "bj", "blk", "rid", "shs"]):
-            if len(rows) > 1:
-                held += compare(rows)
-            if len(held) > 10_000:
-                yield pairs_batch(held)
-                held = []
-        if held:
-            yield pairs_batch(held)
-
-    return run
+    return _groupwise(compare, ["label", "b", "u", "side", "rid", "shs"])
 
 
 def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,12 +223,26 @@ def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("rid"), pa.array(own, pa.binary())], ["rid", "shs"])
 
 
-def in_blocks(rows: DataFrame, group: str, blocks: Column, carry: list[str]) -> DataFrame:
-    """Rows dealt over the pairs of blocks of their group, sorted by group and pair of blocks."""
-    dealt = rows.withColumn("nb", blocks.cast("int")).withColumn("blk", F.pmod(F.xxhash64("rid"), F.col("nb")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    dealt = dealt.select(group, F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"), "blk", "rid", *carry)
-    return dealt.repartition(group, "bi", "bj").sortWithinPartitions(group, "bi", "bj")
+def in_blocks(rows: DataFrame, group: str, out: Column, blocks: Column, out_blocks: Column, carry: list[str]) -> DataFrame:
+    """Rows (group, b, u, side, rid, ...) dealt so that each row with `out` meets all rows of its group, sorted by group.
+
+    All rows of a group are dealt over `blocks` blocks, those with `out` once more over `out_blocks`; the groups (b, u)
+    hold each pair of a block of the one and of the other kind. Without rows to meet (`out_blocks` 0) a group is one
+    block. All rows are dealt out_blocks times, those with `out` blocks times.
+    """
+    dealt = rows.withColumns({"nb": blocks.cast("int"), "nu": out_blocks.cast("int"), "out": out, "h": F.xxhash64("rid")})
+    every = dealt.withColumn("u", F.explode(F.sequence(F.lit(0), F.greatest("nu", F.lit(1)) - 1)))
+    every = every.select(group, F.pmod("h", "nb").cast("int").alias("b"), "u", F.lit(0).alias("side"), "rid", *carry)
+    some = dealt.where("out and nu > 0").withColumn("b", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    some = some.select(group, "b", F.pmod(F.xxhash64("h"), "nu").cast("int").alias("u"), F.lit(1).alias("side"), "rid", *carry)
+    return every.union(some).repartition(group, "b", "u").sortWithinPartitions(group, "b", "u")
+
+
+def outside(rows: DataFrame, group: str, part: str) -> DataFrame:
+    """(group, top, n, n_out) of the groups of rows that hold several parts: the largest part, all rows, those outside it."""
+    sizes = rows.groupBy(group, part).agg(F.count("*").alias("k"))
+    tops = sizes.groupBy(group).agg(F.max_by(part, F.struct("k", part)).alias("top"), F.sum("k").alias("n"), F.max("k").alias("most"))
+    return tops.where("n > most").select(group, "top", "n", (F.col("n") - F.col("most")).alias("n_out"))
 
 
 def linked(keys: DataFrame, sig: DataFrame, sets: Callable[[DataFrame], DataFrame], radius: int, percent: int) -> DataFrame:
@@ -242,24 +255,50 @@ def linked(keys: DataFrame, sig: DataFrame, sets: Callable[[DataFrame], DataFram
     buckets that still hold several components. Then full sets are compared within each component.
     """
     hubs = cut(keys.groupBy("key").agg(F.min("rid").alias("hub"), F.count("*").alias("n")).where("n > 1"))
-    members = cut(keys.join(hubs, "key").select("key", "rid", "hub", "n"))
+    # A bucket's members are dealt over salts, so that one with a third of all rows is SALTS tasks.
+    salted = keys.withColumn("salt", F.pmod(F.xxhash64("rid"), F.lit(SALTS)).cast("int"))
+    spread = hubs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    members = cut(salted.join(spread, ["key", "salt"]).select("key", "rid", "hub", "n"))
     star = members.where("rid <> hub").select(F.col("hub").alias("a"), F.col("rid").alias("b")).distinct()
     star = star.join(sig.select(F.col("rid").alias("b"), F.col("sig").alias("sig_b")), "b").join(sig.select(F.col("rid").alias("a"), F.col("sig").alias("sig_a")), "a")
     star = cut(star.select("a", "b", "sig_a", "sig_b").mapInArrow(text.tidied(closer(radius)), "a long, b long"))
     coarse = graph.components(star)
     # In a bucket of two the star was the only pair.
-    rest = members.where("n > 2").join(coarse.withColumnRenamed("node", "rid"), "rid", "left").select("key", "rid", "n", F.coalesce("label", "rid").alias("label"))
-    mixed = rest.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    open_rows = rest.join(mixed, "key").join(sig, "rid")
-    more = cut(in_blocks(open_rows, "key", F.ceil(F.col("n") / BLOCK), ["label", "sig"]).mapInArrow(text.tidied(across(radius)), "a long, b long").distinct())
-    if not more.isEmpty():
-        coarse = graph.components(star.union(more))
+    rest = members.where("n > 2").join(coarse.withColumnRenamed("node", "rid"), "rid", "left").select("key", "rid", F.coalesce("label", "rid").alias("label"))
+    # Many rows of a bucket that is joined already are dropped before anything is dealt.
+    mixed = cut(outside(rest, "key", "label"))
+    if not mixed.isEmpty():
+        open_rows = rest.join(mixed, "key").join(sig, "rid")
+        dealt = in_blocks(open_rows, "key", F.col("label") != F.col("top"), F.ceil(F.col("n") / BLOCK), F.ceil(F.col("n_out") / BLOCK), ["label", "sig"])
+        more = cut(dealt.mapInArrow(text.tidied(across(radius)), "a long, b long").distinct())
+        if not more.isEmpty():
+            coarse = graph.components(star.union(more))
     coarse = cut(coarse)
     whole = sets(coarse.select(F.col("node").alias("rid"))).join(coarse.withColumnRenamed("node", "rid"), "rid")
-    whole = cut(whole.select("label", "rid", "shs"))
-    load = whole.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / SETS), F.ceil(F.sum(F.octet_length("shs")) / SET_BYTES)).alias("blocks"))
-    blocks = in_blocks(whole.join(load, "label"), "label", F.col("blocks"), ["shs"])
-    return graph.components(blocks.mapInArrow(text.tidied(verified(percent)), "a long, b long"))
+    return confirmed(cut(whole.select("label", "rid", "shs")), percent)
+
+
+def confirmed(whole: DataFrame, percent: int) -> DataFrame:
+    """(node, label) of the rows of whole (label, rid, shs) that have a similar set among those of their label."""
+    blocks = F.greatest(F.ceil(F.count("*") / SETS), F.ceil(F.sum(F.octet_length("shs")) / SET_BYTES))
+    load = cut(whole.groupBy("label").agg(blocks.cast("long").alias("blocks"), F.count("*").alias("n")))
+    rows = whole.join(load, "label")
+    # Hubs are picked by hash, about HUBS of a large component; there may be none, which the second step makes good.
+    hub = F.pmod(F.xxhash64("rid", F.lit(1)), F.ceil(F.col("n") / HUBS)) == 0
+    large = F.col("blocks") > 1
+    dealt = in_blocks(rows, "label", large & hub, F.col("blocks"), large.cast("int"), ["shs"])
+    links = cut(dealt.mapInArrow(text.tidied(verified(percent)), "a long, b long"))
+    labels = graph.components(links)
+    if load.where(large).isEmpty():
+        return labels
+    parts = rows.where(large).select("label", "rid", "blocks", "shs").join(labels.select(F.col("node").alias("rid"), F.col("label").alias("part")), "rid", "left")
+    parts = cut(parts.select("label", "rid", "blocks", "shs", F.coalesce("part", "rid").alias("part")))
+    mixed = cut(outside(parts, "label", "part"))
+    if mixed.isEmpty():
+        return labels
+    dealt = in_blocks(parts.join(mixed, "label"), "label", F.col("part") != F.col("top"), F.col("blocks"), F.ceil(F.col("n_out") * F.col("blocks") / F.col("n")), ["shs"])
+    more = cut(dealt.mapInArrow(text.tidied(verified(percent)), "a long, b long"))
+    return labels if more.isEmpty() else graph.components(links.union(more))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:

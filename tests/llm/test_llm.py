@@ -86,6 +86,65 @@ def test_verified_blocks_give_what_all_pairs_give():
     np.fill_diagonal(shared, 0)
     np.fill_diagonal(got, 0)
     assert (got == shared).all()
+    part = near_dedup.common(sets, np.array([3, 7]))
+    part[[0, 1], [3, 7]] = 0
+    assert (part == shared[[3, 7]]).all()
+
+
+def near_group(n, seed=5, chained=False):
+    """Sets (label, rid, shs): near copies of one set, or a chain in which only neighbours are similar, and another label."""
+    rng = np.random.RandomState(seed)
+    base = rng.randint(0, 1 << 60, 80 + (n if chained else 0)).astype(np.uint64)
+    rows = []
+    for i in range(n):
+        own = base[i : i + 80].copy() if chained else base.copy()
+        if not chained:
+            own[rng.randint(0, 80, 3)] = rng.randint(0, 1 << 60, 3)
+        rows.append((7, int(i), bytearray(np.unique(own).tobytes())))
+    rows += [(8, 10**6 + i, bytearray(np.unique(rng.randint(0, 1 << 60, 80).astype(np.uint64)).tobytes())) for i in range(5)]
+    return rows
+
+
+def joined(rows, percent):
+    sets = {r[1]: (r[0], set(np.frombuffer(bytes(r[2]), np.uint64).tolist())) for r in rows}
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            both = len(sets[a][1] & sets[b][1])
+            if sets[a][0] == sets[b][0] and both and 100 * both >= percent * len(sets[a][1] | sets[b][1]):
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    alone = collections.Counter(find(i) for i in ids)
+    return {i: find(i) for i in ids if alone[find(i)] > 1}
+
+
+@pytest.mark.parametrize("chained", [False, True])
+def test_large_components_equal_brute_force(spark, monkeypatch, chained):
+    monkeypatch.setattr(near_dedup, "SETS", 16)
+    rows = near_group(180, chained=chained)
+    got = near_dedup.confirmed(spark.createDataFrame(rows, "label long, rid long, shs binary"), 85)
+    assert {r.node: r.label for r in got.collect()} == joined(rows, 85)
+
+
+def test_rows_dealt_grow_with_the_group_not_its_square(spark, monkeypatch):
+    """Near copies are dealt about once, twice as many rows for a group twice as large."""
+    monkeypatch.setattr(near_dedup, "SETS", 64)
+    counts, plain = [], near_dedup.in_blocks
+    monkeypatch.setattr(near_dedup, "in_blocks", lambda *a: (lambda df: (counts.append(df.count()), df)[1])(plain(*a)))
+    total = []
+    for n in (2_000, 4_000):
+        counts.clear()
+        labels = near_dedup.confirmed(spark.createDataFrame(near_group(n), "label long, rid long, shs binary"), 80)
+        assert labels.groupBy("label").count().collect()[0]["count"] == n
+        total.append(sum(counts))
+    assert total[0] < 2_000 * 1.6 and total[1] < 2.2 * total[0], total
 
 
 def test_empty_tables(spark):
