@@ -105,6 +105,14 @@ def span_hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((total[ends] - total[begins]) * down[begins] + (ends - begins).astype(U) * _STEP[0])
 
 
+def runs(words: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each run of words; the cost does not depend on overlaps."""
+    up, down = powers(len(words) + 1)
+    total = np.zeros(len(words) + 1, dtype=U)
+    np.cumsum(words * up[: len(words)], out=total[1:])
+    return mix((total[ends] - total[begins]) * down[begins] + (ends - begins).astype(U))
+
+
 def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each lower-cased word of every row, and the rows' bounds in them."""
     data, offsets = raw(column)

@@ -461,6 +461,34 @@ def test_repeated_runs_equal_brute_force():
                 assert (want == c).all(), (i, run)
 
 
+def test_html_malformed_quotes_and_names_inside_the_article():
+    read = lambda page: html_extract.main_texts([html_extract.blocks(page)])[0]
+    assert read('<article><p title="x>hello</p><p>there</p></article>') == "hello\nthere"
+    assert read("<p class='a>one</p><p>two") == "one\ntwo"
+    assert read('<p title="a > b">kept</p>') == "kept"
+    assert read('<article><div class="related-work">prior art</div><section class="comment-policy">be kind</section><div class="comment-list">no</div><p>x</p></article>') == "prior art\nbe kind\nx"
+
+
+def test_html_repetition_does_not_depend_on_parts(spark, monkeypatch):
+    """A host dealt over many parts gives what one suffix array over all its pages gives."""
+    rng = random.Random(12)
+    say = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(n))
+    menu, notices = say(9), [say(12) for _ in range(12)]
+    rows = []
+    for i in range(60):
+        own = f"<p>{say(20)}</p>"
+        notice = f"<div>{notices[i % 12]}</div>" if i < 24 else ""  # each on two pages only
+        shown = f"<div>{menu}</div>{notice}{own}<p>{say(3)}</p>"
+        rows.append((i, f"http://h.org/{i}", f"<article>{shown}</article>" if i % 10 == 7 else f"<nav>{notices[i % 12]}</nav>{own}" if i in (30, 31) else shown))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    one = html_extract.main_texts([html_extract.blocks(r[2]) for r in rows])
+    assert sum(n in t for n in notices for t in one) <= 4  # those inside articles
+    want = {r[0]: t for r, t in zip(rows, one, strict=True)}
+    for group in (256, 7, 1):
+        monkeypatch.setattr(html_extract, "GROUP", group)
+        assert {r.page_id: r.text for r in html_extract.extract(pages).collect()} == want
+
+
 def test_passages(spark):
     rng = random.Random(6)
     sentence = lambda: (" ".join("".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(2, 8))) for _ in range(11)) + ".").capitalize()
