@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandweave.session import cut
 
 SALTS = 64
+#: As many links (16 bytes each) are joined in one task of an executor; more are joined in rounds over all tasks.
+LOCAL = 50_000
 
 
 def with_group(rows: DataFrame, keys: list[str], by: str, partial: dict[str, Column], final: dict[str, Column]) -> DataFrame:
@@ -29,8 +35,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Each round gives every label its smallest neighbour as parent, follows parents one step further, and renames the
     edges; the graph of labels shrinks at least by half. Tables are checkpointed, nothing but a count comes to the driver.
+    Once LOCAL links or fewer are left, they are joined in one task.
     """
     links = cut(edges.select("a", "b").where("a <> b").distinct())
+    if links.limit(LOCAL + 1).count() <= LOCAL:
+        return cut(links.repartition(1).mapInArrow(joined, "node long, label long"))
     ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
     labels = ends.withColumn("label", F.col("node"))
     for _ in range(rounds):
@@ -46,3 +55,36 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("connected components did not converge")
     return labels
+
+
+def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All links (a, b) of a bounded graph to (node, label)."""
+    held = [np.stack([batch.column(c).to_numpy() for c in ("a", "b")]) for batch in batches]
+    if not held:
+        return
+    nodes, ends = np.unique(np.concatenate(held, axis=1), return_inverse=True)
+    ends = ends.reshape(2, -1)
+    label = np.arange(len(nodes))
+    while True:  # the least label of both ends goes to both ends' labels, then labels are followed
+        low = np.minimum(label[ends[0]], label[ends[1]])
+        new = label.copy()
+        for x in ends:
+            np.minimum.at(new, label[x], low)
+        while (new != new[new]).any():
+            new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label])], ["node", "label"])
+
+
+def extended(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The components `labels` (node, label) with further links (a, b) between nodes of theirs or new ones: (node, label).
+
+    Only the links between different components are joined; the graph of components is smaller than that of nodes.
+    """
+    of = lambda end: labels.select(F.col("node").alias(end), F.col("label").alias(f"l{end}"))
+    between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    top = components(between).select(F.col("node").alias("m"), F.col("label").alias("top"))
+    fresh = links.select(F.col("a").alias("node")).union(links.select("b")).distinct().join(labels, "node", "left_anti").select("node", F.col("node").alias("label"))
+    return cut(labels.unionByName(fresh).join(top, F.col("label") == F.col("m"), "left").select("node", F.coalesce("top", "label").alias("label")))

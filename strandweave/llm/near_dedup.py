@@ -272,8 +272,7 @@ def linked(keys: DataFrame, sig: DataFrame, sets: Callable[[DataFrame], DataFram
         dealt = in_blocks(open_rows, "key", F.col("label") != F.col("top"), F.ceil(F.col("n") / BLOCK), F.ceil(F.col("n_out") / BLOCK), ["label", "sig"])
         more = cut(dealt.mapInArrow(text.tidied(across(radius)), "a long, b long").distinct())
         if not more.isEmpty():
-            coarse = graph.components(star.union(more))
-    coarse = cut(coarse)
+            coarse = graph.extended(coarse, more)
     whole = sets(coarse.select(F.col("node").alias("rid"))).join(coarse.withColumnRenamed("node", "rid"), "rid")
     return confirmed(cut(whole.select("label", "rid", "shs")), percent)
 
@@ -298,7 +297,7 @@ def confirmed(whole: DataFrame, percent: int) -> DataFrame:
         return labels
     dealt = in_blocks(parts.join(mixed, "label"), "label", F.col("part") != F.col("top"), F.col("blocks"), F.ceil(F.col("n_out") * F.col("blocks") / F.col("n")), ["shs"])
     more = cut(dealt.mapInArrow(text.tidied(verified(percent)), "a long, b long"))
-    return labels if more.isEmpty() else graph.components(links.union(more))
+    return labels if more.isEmpty() else graph.extended(labels, more)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from strandweave.llm import bpe, exact_dedup, fingerprint, html_extract, lm_score, mixing, near_dedup, passage_dedup, quality, text, token_count, vocab
+from strandweave.llm import bpe, exact_dedup, fingerprint, graph, html_extract, lm_score, mixing, near_dedup, passage_dedup, quality, text, token_count, vocab
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -125,6 +125,32 @@ def joined(rows, percent):
     return {i: find(i) for i in ids if alone[find(i)] > 1}
 
 
+@pytest.mark.parametrize("local", [0, 50_000])
+def test_components(spark, monkeypatch, local):
+    """In one task or in rounds, and with links that come later: the smallest node that can be reached."""
+    monkeypatch.setattr(graph, "LOCAL", local)
+    rng = random.Random(21)
+    links = [(rng.randrange(200), rng.randrange(200)) for _ in range(130)] + [(i, i + 1) for i in range(300, 340)]
+    more = [(rng.randrange(200), rng.randrange(250)) for _ in range(25)] + [(310, 5), (700, 701)]
+
+    def brute(edges):
+        label = {x: x for e in edges if e[0] != e[1] for x in e}
+        while True:
+            before = dict(label)
+            for a, b in edges:
+                if a != b:
+                    label[a] = label[b] = min(label[a], label[b])
+            if label == before:
+                return label
+
+    table = lambda x: spark.createDataFrame(x, "a long, b long")
+    found = graph.components(table(links))
+    assert {r.node: r.label for r in found.collect()} == brute(links)
+    after = {r.node: r.label for r in graph.extended(found, table(more)).collect()}
+    assert {k: v for k, v in after.items() if k in brute(links + more)} == brute(links + more)
+    assert graph.components(table([])).count() == 0
+
+
 @pytest.mark.parametrize("chained", [False, True])
 def test_large_components_equal_brute_force(spark, monkeypatch, chained):
     monkeypatch.setattr(near_dedup, "SETS", 16)
@@ -530,7 +556,7 @@ def test_passages_without_sentences(spark):
     text_of = {r[0]: r[1].split() for r in rows}
     for r in got:
         run, other = (shingle_set(" ".join(x)) for x in (text_of[r.doc_id][r.begin_word : r.end_word], text_of[(r.doc_id + 100) % 200]))
-        assert r.n_words >= 46 and len(run & other) >= 0.8 * len(run)
+        assert r.n_words >= 43 and len(run & other) >= 0.8 * len(run)
 
 
 def test_passages_edited_in_the_first_sentence(spark):
@@ -553,7 +579,7 @@ def test_passages_edited_in_the_first_sentence(spark):
 
 
 def test_passages_equal_brute_force_over_runs_and_recall_of_edited_ones(spark):
-    """Every document with a run of 50 equal words is found, none without one of 46; edited passages: recall is stated."""
+    """Every document with a run of 50 equal words is found, none without one of 43; edited passages: recall is stated."""
     rng = random.Random(46)
     word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(3, 8)))
     sentence = lambda: " ".join(word() for _ in range(rng.randint(6, 14))) + "."
@@ -569,17 +595,18 @@ def test_passages_equal_brute_force_over_runs_and_recall_of_edited_ones(spark):
         longest[k] = max(n for n in range(30, 75) if {tuple(a[i : i + n]) for i in range(len(a) - n + 1)} & {tuple(b[i : i + n]) for i in range(len(b) - n + 1)})
     for k, n in longest.items():
         assert n < 50 or {k, 1000 + k} <= got, (k, n)
-        assert n >= 46 or not {k, 1000 + k} & got, (k, n)
+        assert n >= 43 or not {k, 1000 + k} & got, (k, n)
     rows, want = [], set()
-    for k in range(60):  # passages of whole sentences, every 25th word or so changed
+    for k in range(60):  # passages of whole sentences, every 50th word or so changed
         passage = say(8)
         other = [word() if rng.random() < 0.02 else w for w in passage]
         rows += [(d, " ".join(say(6) + body + say(5)), "en", "s", 0) for d, body in ((k, passage), (1000 + k, other))]
-        if other != passage:
+        a, b = shingle_set(" ".join(passage)), shingle_set(" ".join(other))
+        if len(a & b) >= 0.8 * len(a | b):
             want.add(1000 + k)
     got = {r.doc_id for r in passage_dedup.repeats(docs(spark, rows)).where("removed").select("doc_id").distinct().collect()}
     print("recall of edited passages", len(got & want) / len(want))
-    assert len(got & want) >= 0.8 * len(want)
+    assert len(want) > 25 and len(got & want) >= 0.9 * len(want)
 
 
 def test_html_names_of_state_keep_the_article():
