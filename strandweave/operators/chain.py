@@ -86,9 +86,13 @@ CHAINS = "id long, contig long, lane int, chain int, score double, n_runs long,
 
 
 def chains(dense: DataFrame, reach: int = 5000, band: int = 500, least: int = 40, k: int = K) -> DataFrame:
-    """Collinear chains of each (query, contig, strand) with a score of `least` or more; coordinates along the lane."""
+    """Collinear chains of each (query, contig, strand) with a score of `least` or more; coordinates along the lane.
+
+    A chain scores no more than the weights of its runs together, so groups that cannot reach `least` go beforehand.
+    """
     ship(dense.sparkSession)
-    found = dense.groupBy(*GROUP).applyInPandas(lambda pdf: chain_group(pdf, reach, band, k), CHAINS)
+    able = dense.groupBy(*GROUP).agg(F.sum("weight").alias("_w")).where(F.col("_w") >= least).select(*GROUP)
+    found = dense.join(able, GROUP, "left_semi").groupBy(*GROUP).applyInPandas(lambda pdf: chain_group(pdf, reach, band, k), CHAINS)
     return found.where(F.col("score") >= least)
 
 
@@ -102,21 +106,18 @@ def forward(placed: DataFrame, lengths: DataFrame) -> DataFrame:
 def own_group(pdf: pd.DataFrame, mask: float) -> pd.DataFrame:
     """Parents of one query's chains: the best-ranked chain that covers more than `mask` of a chain owns it."""
     pdf = pdf.sort_values(["score", "contig", "r_lo", "lane", "q_lo"], ascending=[False, True, True, True, True], kind="stable").reset_index(drop=True)
-    owners: list[int] = []
-    parent, second, rivals = [], [0.0] * len(pdf), [0] * len(pdf)
-    for i, row in enumerate(pdf.itertuples()):
-        found = i
-        for o in owners:
-            p = pdf.iloc[o]
-            over = min(row.q_hi, p.q_hi) - max(row.q_lo, p.q_lo)
-            if over > mask * min(row.q_hi - row.q_lo, p.q_hi - p.q_lo):
-                found = o
-                second[o] = max(second[o], row.score)
-                rivals[o] += row.score >= 0.8 * p.score
-                break
-        if found == i:
-            owners.append(i)
-        parent.append(found)
+    lo, hi, score = (pdf[c].to_numpy(dtype=np.float64) for c in ("q_lo", "q_hi", "score"))
+    owners = np.zeros(0, dtype=np.int64)
+    parent, second, rivals = np.arange(len(pdf)), np.zeros(len(pdf)), np.zeros(len(pdf), dtype=np.int64)
+    for i in range(len(pdf)):
+        over = np.minimum(hi[i], hi[owners]) - np.maximum(lo[i], lo[owners])
+        found = owners[over > mask * np.minimum(hi[i] - lo[i], hi[owners] - lo[owners])]
+        if len(found):
+            o = parent[i] = found[0]
+            second[o] = max(second[o], score[i])
+            rivals[o] += score[i] >= 0.8 * score[o]
+        else:
+            owners = np.append(owners, i)
     pdf["rank"], pdf["parent"], pdf["f2"], pdf["n_sub"] = range(len(pdf)), parent, second, rivals
     return pdf
 

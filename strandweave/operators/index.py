@@ -7,9 +7,14 @@ from pyspark.sql import functions as F
 
 
 def postings(reference_seeds: DataFrame) -> DataFrame:
-    """(key, occ, postings): sorted (contig, pos, z) of each key. Written for lookups of few keys; joins use the rows."""
-    row = F.struct(F.col("id").alias("contig"), "pos", "z")
-    return reference_seeds.groupBy("key").agg(F.count("*").alias("occ"), F.array_sort(F.collect_list(row)).alias("postings"))
+    """(key, contig, pos, z) in the order of the index. Sorted by range, so that a key of many postings is many tasks."""
+    return reference_seeds.select("key", F.col("id").alias("contig"), "pos", "z").orderBy("key", "contig", "pos", "z")
+
+
+def keys(reference_seeds: DataFrame) -> DataFrame:
+    """(key, occ, first_contig, first_pos): one row a key with its first posting; partial results before the shuffle."""
+    first = F.min(F.struct("id", "pos"))
+    return reference_seeds.groupBy("key").agg(F.count("*").alias("occ"), first.alias("f")).select("key", "occ", F.col("f.id").alias("first_contig"), F.col("f.pos").alias("first_pos"))
 
 
 def occurrences(reference_seeds: DataFrame) -> DataFrame:
@@ -22,8 +27,8 @@ def histogram(occ: DataFrame) -> DataFrame:
     return occ.groupBy("occ").agg(F.count("*").alias("n_keys"))
 
 
-def occurrence_cap(occ: DataFrame, fraction: float = 0.0002, floor: int = 10, ceiling: int = 200) -> DataFrame:
-    """One row (quantile, cap): the occurrence at rank floor((1 - fraction) n) plus one, held between floor and ceiling.
+def occurrence_cap(occ: DataFrame, fraction: float = 1.81e-4, floor: int = 200, ceiling: int | None = None) -> DataFrame:
+    """One row (quantile, cap): the occurrence at rank floor((1 - fraction) n) plus one, held between floor and ceiling (none by default).
 
     The window runs over the histogram, whose rows are distinct occurrences, not keys.
     """
@@ -31,7 +36,13 @@ def occurrence_cap(occ: DataFrame, fraction: float = 0.0002, floor: int = 10, ce
     w = Window.orderBy("occ").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = h.withColumn("upto", F.sum("n_keys").over(w)).withColumn("n", F.sum("n_keys").over(Window.partitionBy()))
     found = ranked.where(F.col("upto") > F.floor((1 - fraction) * F.col("n"))).agg((F.min("occ") + 1).alias("quantile"))
-    return found.select("quantile", F.least(F.lit(ceiling), F.greatest(F.lit(floor), F.col("quantile"))).alias("cap"))
+    cap = F.greatest(F.lit(floor), F.col("quantile"))
+    return found.select("quantile", (cap if ceiling is None else F.least(F.lit(ceiling), cap)).cast("long").alias("cap"))
+
+
+def resolved_cap(occ: DataFrame) -> int:
+    """The index's own occurrence cap: one number."""
+    return int(occurrence_cap(occ).first()["cap"])
 
 
 def admitted(reference_seeds: DataFrame, cap: int) -> DataFrame:

@@ -11,9 +11,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandweave.functions import hashes
 from strandweave.session import ship
 
 K, S = 15, 5
@@ -26,11 +27,7 @@ CODES[32] = 3
 def smer_ranks(s: int) -> np.ndarray:
     """The rank of every s-mer's canonical code by a 64-bit mixing hash."""
     code = np.arange(4**s, dtype=np.uint64)
-    h = code.copy()
-    # Multipliers and shifts of the finaliser that orders s-mers.
-    for multiplier in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
-        h = (h ^ (h >> np.uint64(33))) * np.uint64(multiplier)
-    h ^= h >> np.uint64(33)
+    h = hashes.mix(code)
     rank = np.empty(4**s, dtype=np.int64)
     rank[np.argsort(h)] = np.arange(4**s)
     other = np.zeros_like(code)
@@ -114,5 +111,57 @@ def drop_repeats(query_seeds: DataFrame, most: int = 3, share: float = 0.01) ->
 
 
 def thin(query_seeds: DataFrame, n: int) -> DataFrame:
-    """Every n-th key by value."""
-    return query_seeds.where(F.pmod("key", F.lit(n)) == 0)
+    """Seeds whose key's mixing hash is a multiple of n: a sample of keys, whatever their letters."""
+    return query_seeds.where(hashes.kept_by_hash(F.col("key"), n))
+
+
+def stretch_count(length: Column, stretch: int) -> Column:
+    """Number of stretches of a query: a remainder of less than half a stretch joins the last whole one."""
+    whole = F.greatest(F.lit(1), F.floor(length / stretch).cast("int"))
+    rest = length - whole * stretch
+    return whole + F.when((rest > 0) & (2 * rest >= stretch), 1).otherwise(0)
+
+
+def in_stretches(query_seeds: DataFrame, lengths: DataFrame, stretch: int) -> DataFrame:
+    """query_seeds with the stretch of the query that each lies in."""
+    at = F.least(F.floor(F.col("pos") / stretch).cast("int"), stretch_count(F.col("length"), stretch) - 1)
+    return query_seeds.join(lengths, "id").withColumn("stretch", at).drop("length")
+
+
+def window(query_seeds: DataFrame, begin: int, end: int, k: int = K, thinned: int = 1) -> DataFrame:
+    """Seeds that lie wholly in [begin, end), with positions from begin, thinned by key where asked."""
+    inside = query_seeds.where((F.col("pos") >= begin) & (F.col("pos") <= end - k)).withColumn("pos", F.col("pos") - begin)
+    return thin(inside, thinned) if thinned > 1 else inside
+
+
+def readmitted(query_seeds: DataFrame, occ: DataFrame, lengths: DataFrame, cap: int, dist: int, k: int = K, most: int = 128, highest: int = 4095) -> DataFrame:
+    """(id, pos) of seeds over the cap that come back: of each streak of them the rarest, one for each `dist` bases.
+
+    A streak runs between seeds within the cap; its length is that between their ends, or the query's ends. Seeds that
+    the index lacks are not looked at.
+    """
+    rows = query_seeds.join(occ, "key").join(lengths, "id").withColumn("over", F.col("occ") > cap)
+    order = Window.partitionBy("id").orderBy("pos")
+    rows = rows.withColumns({"streak": F.sum(F.when(F.col("over"), 0).otherwise(1)).over(order), "end": F.col("pos") + k})
+    before = F.last(F.when(~F.col("over"), F.col("end")), ignorenulls=True).over(order)
+    after = F.first(F.when(~F.col("over"), F.col("end")), ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    rows = rows.withColumn("room", F.coalesce(after, F.col("length")) - F.coalesce(before, F.lit(0))).where("over")
+    take = F.least(F.lit(most), F.floor(F.col("room") / F.lit(float(dist)) + 0.499).cast("int"))
+    rank = F.row_number().over(Window.partitionBy("id", "streak").orderBy("occ", "pos"))
+    return rows.withColumns({"take": take, "rank": rank}).where((F.col("rank") <= F.col("take")) & (F.col("occ") <= highest)).select("id", "pos")
+
+
+def rescued(tiles: DataFrame, budget: int = 65_536) -> DataFrame:
+    """(id, tile, pos) of the over-cap seeds that fill empty tiles, in tile order; one beyond the budget is passed over.
+
+    tiles: (id, tile, admitted, pos, occ), with the best over-cap seed of each tile. At most a row a tile of a query.
+    """
+    row = F.struct("tile", "pos", "occ")
+    grouped = tiles.where("admitted = 0 and pos is not null").groupBy("id").agg(F.array_sort(F.collect_list(row)).alias("all"))
+    state = F.struct(F.lit(0).cast("long").alias("spent"), F.slice("all", 1, 0).alias("kept"))
+
+    def step(s: Column, x: Column) -> Column:
+        fits = s["spent"] + x["occ"] <= budget
+        return F.struct((s["spent"] + F.when(fits, x["occ"]).otherwise(0)).cast("long").alias("spent"), F.when(fits, F.concat(s["kept"], F.array(x))).otherwise(s["kept"]).alias("kept"))
+
+    return grouped.select("id", F.explode(F.aggregate("all", state, step, lambda s: s["kept"])).alias("x")).select("id", "x.tile", "x.pos")

@@ -9,11 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandweave.functions import hashes
 from strandweave.functions import sequence as sq
-from strandweave.operators import chain, index, intervals, records, seeds, vote
+from strandweave.operators import chain, index, intervals, ordering, records, seeds, vote
 from strandweave.session import cut, table
 
-CAP = 200
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -52,8 +52,14 @@ def read_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reads(spark, sf_dir).select(F.col("item_id").cast("long").alias("id"), F.length("seq").alias("length"))
 
 
+def admitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reference seeds within the index's own cap; texts are seeded once."""
+    d = cut(reference(spark, sf_dir))
+    return index.admitted(d, index.resolved_cap(index.occurrences(d)))
+
+
 def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vote.hits(read_seeds(spark, sf_dir), index.admitted(reference(spark, sf_dir), CAP), read_lengths(spark, sf_dir))
+    return vote.hits(read_seeds(spark, sf_dir), admitted(spark, sf_dir), read_lengths(spark, sf_dir))
 
 
 PROJECT = "translate(lower(regexp_replace(coalesce(text, ''), '[^A-Za-z ]', '#', 'g')), 'abcdefghijklmnopqrstuvwxyz #', 'ACGTACGTACGTACGTACGTACGTACTN')"
@@ -62,10 +68,11 @@ PROJECT = "translate(lower(regexp_replace(coalesce(text, ''), '[^A-Za-z ]', '#',
 def fmix(x: str) -> str:
     """SQL of the mixing hash, one CTE a step, over a table t(c)."""
     m = "18446744073709551616::UHUGEINT"
+    first, second = hashes.MIX
     return f"""h1 AS (SELECT c, xor(c::UBIGINT, c::UBIGINT >> 33) AS h FROM {x}),
-h2 AS (SELECT c, ((h::UHUGEINT * 18397679294719823053::UHUGEINT) % {m})::UBIGINT AS h FROM h1),
+h2 AS (SELECT c, ((h::UHUGEINT * {first}::UHUGEINT) % {m})::UBIGINT AS h FROM h1),
 h3 AS (SELECT c, xor(h, h >> 33) AS h FROM h2),
-h4 AS (SELECT c, ((h::UHUGEINT * 14181476777654086739::UHUGEINT) % {m})::UBIGINT AS h FROM h3),
+h4 AS (SELECT c, ((h::UHUGEINT * {second}::UHUGEINT) % {m})::UBIGINT AS h FROM h3),
 h5 AS (SELECT c, xor(h, h >> 33) AS h FROM h4)"""
 
 
@@ -90,10 +97,12 @@ DOCS = f"SELECT doc_id AS id, {PROJECT} AS seq FROM documents"
 READS = f"SELECT item_id AS id, CASE WHEN item_id % 2 = 1 THEN translate(reverse({PROJECT}), 'ACGT', 'TGCA') ELSE {PROJECT} END AS seq FROM benchmark"
 REF = f"WITH {RANKS},\n{seed_sql('d', DOCS)}"
 BOTH = f"{REF},\n{seed_sql('q', READS)}"
-OCC = "occ AS (SELECT key, count(*) AS occ FROM d GROUP BY key)"
+OCC = """occ AS (SELECT key, count(*) AS occ FROM d GROUP BY key),
+occ_h AS (SELECT occ, count(*) AS n FROM occ GROUP BY occ), occ_c AS (SELECT occ, sum(n) OVER (ORDER BY occ) AS upto, sum(n) OVER () AS total FROM occ_h),
+cap AS (SELECT min(occ) + 1 AS quantile, greatest(200, min(occ) + 1)::BIGINT AS cap FROM occ_c WHERE upto > floor((1 - 0.000181::DOUBLE) * total))"""
 HITS = f"""{BOTH}, {OCC},
 hits AS (SELECT q.id, d.id AS contig, xor(q.z, d.z) AS lane, CASE WHEN xor(q.z, d.z) = 0 THEN q.pos ELSE length(q_q.seq) - 15 - q.pos END AS q, d.pos AS r
-  FROM q JOIN q_q USING (id) JOIN d USING (key) JOIN occ USING (key) WHERE occ <= {CAP})"""
+  FROM q JOIN q_q USING (id) JOIN d USING (key) JOIN occ USING (key) WHERE occ <= (SELECT cap FROM cap))"""
 VOTES = f"""{HITS},
 votes AS (SELECT id, lane, contig, floor((r - q) / 64)::BIGINT AS bin, count(DISTINCT q) AS support, min(r) AS start FROM hits GROUP BY ALL)"""
 FOLD = f"""{VOTES},
@@ -121,19 +130,8 @@ ORACLES["op_F11_read_seeds"] = f"WITH {RANKS},\n{seed_sql('q', READS)} SELECT id
 
 @query("op_F07_order_hash", f"WITH t AS (SELECT DISTINCT p_size::BIGINT AS c FROM part), {fmix('t')} SELECT c AS value, h::VARCHAR AS hash FROM h5")
 def order_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 64-bit mixing hash as a vectorised function: built-in arithmetic raises on overflow."""
-    import pandas as pd
-
-    @F.pandas_udf("string")
-    def mixed(x):
-        import numpy as np
-
-        h = x.to_numpy().astype(np.uint64)
-        for m in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
-            h = (h ^ (h >> np.uint64(33))) * np.uint64(m)
-        return pd.Series((h ^ (h >> np.uint64(33))).astype(str))
-
-    return table(spark, sf_dir, "part").select(F.col("p_size").cast("long").alias("value")).distinct().withColumn("hash", mixed("value"))
+    """The 64-bit mixing hash."""
+    return table(spark, sf_dir, "part").select(F.col("p_size").cast("long").alias("value")).distinct().withColumn("hash", hashes.order_hash(F.col("value")))
 
 
 @query("op_F08_order_ranks", f"WITH {RANKS} SELECT s AS smer, r AS rank FROM smers")
@@ -144,7 +142,11 @@ def order_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(list(zip(names, map(int, rank), strict=True)), "smer string, rank long")
 
 
-@query("op_F12_thinned_seeds", f"WITH {RANKS},\n{seed_sql('q', READS)} SELECT id, pos, key, z FROM q WHERE key % 4 = 0")
+# The names h1 to h5 are taken by RANKS, so the hash of keys has a WITH of its own.
+KEY_HASH = f"(WITH t AS (SELECT DISTINCT key AS c FROM q), {fmix('t')} SELECT c AS key, h FROM h5)"
+
+
+@query("op_F12_thinned_seeds", f"WITH {RANKS},\n{seed_sql('q', READS)} SELECT id, pos, key, z FROM q JOIN {KEY_HASH} USING (key) WHERE h % 4 = 0")
 def thinned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seeds.thin(read_seeds(spark, sf_dir), 4)
 
@@ -161,15 +163,13 @@ def tandem(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op_A01_index_build", REF + " SELECT key, count(*) AS occ, min(id) AS first_contig, arg_min(pos, (id, pos)) AS first_pos FROM d GROUP BY key")
 def index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = index.postings(reference(spark, sf_dir))
-    return p.select("key", "occ", F.col("postings")[0]["contig"].alias("first_contig"), F.col("postings")[0]["pos"].alias("first_pos"))
+    return index.keys(reference(spark, sf_dir))
 
 
-@query("op_A02_sorted_postings", REF + " SELECT key, id AS contig, pos, z, row_number() OVER (PARTITION BY key ORDER BY id, pos, z)::INT AS n FROM d WHERE key % 16 = 0")
+@query("op_A02_sorted_postings", REF + " SELECT key, id AS contig, pos, z FROM d ORDER BY key, contig, pos, z")
 def sorted_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Postings in order, of the keys that a downsampled index keeps."""
-    p = index.postings(seeds.thin(reference(spark, sf_dir), 16))
-    return p.select("key", F.posexplode("postings").alias("n", "p")).select("key", "p.contig", "p.pos", "p.z", (F.col("n") + 1).alias("n"))
+    """All postings in the order of the index."""
+    return index.postings(reference(spark, sf_dir))
 
 
 @query("op_A05_occurrence_histogram", f"{REF}, {OCC} SELECT occ, count(*) AS n_keys FROM occ GROUP BY occ")
@@ -177,23 +177,19 @@ def occurrence_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.histogram(index.occurrences(reference(spark, sf_dir)))
 
 
-@query(
-    "op_A06_A07_occurrence_cap",
-    f"""{REF}, {OCC}, h AS (SELECT occ, count(*) AS n FROM occ GROUP BY occ), c AS (SELECT occ, sum(n) OVER (ORDER BY occ) AS upto, sum(n) OVER () AS total FROM h),
-m AS (SELECT min(occ) + 1 AS quantile FROM c WHERE upto > floor((1 - 0.0002) * total)) SELECT quantile, least(200, greatest(10, quantile)) AS cap FROM m""",
-)
+@query("op_A06_A07_occurrence_cap", f"{REF}, {OCC} SELECT quantile, cap FROM cap")
 def cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.occurrence_cap(index.occurrences(reference(spark, sf_dir)))
 
 
-@query("op_A08_admitted_seeds", f"{REF}, {OCC} SELECT id, count(*) AS seeds, sum(occ)::BIGINT AS occ FROM d JOIN occ USING (key) WHERE occ <= {CAP} GROUP BY id")
+@query("op_A08_admitted_seeds", f"{REF}, {OCC} SELECT id, count(*) AS seeds, sum(occ)::BIGINT AS occ FROM d JOIN occ USING (key) WHERE occ <= (SELECT cap FROM cap) GROUP BY id")
 def admission(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.admitted(reference(spark, sf_dir), CAP).groupBy("id").agg(F.count("*").alias("seeds"), F.sum("occ").alias("occ"))
+    return admitted(spark, sf_dir).groupBy("id").agg(F.count("*").alias("seeds"), F.sum("occ").alias("occ"))
 
 
 @query("op_A09_occurrence_without_self", f"{REF}, {OCC}, own AS (SELECT key, id, count(*) AS n FROM d GROUP BY ALL) SELECT id, sum(occ - n)::BIGINT AS elsewhere, count(*) AS keys FROM own JOIN occ USING (key) GROUP BY id")
 def without_self(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = reference(spark, sf_dir)
+    d = cut(reference(spark, sf_dir))
     own = d.groupBy("key", "id").agg(F.count("*").alias("n"))
     return own.join(index.occurrences(d), "key").groupBy("id").agg(F.sum(F.col("occ") - F.col("n")).alias("elsewhere"), F.count("*").alias("keys"))
 
@@ -216,12 +212,23 @@ def strand_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matches(spark, sf_dir).groupBy("lane").agg(F.count("*").alias("n"), F.countDistinct("id").alias("queries"))
 
 
-OVERLAPS = f"""{REF}, {OCC}, few AS (SELECT DISTINCT key, id FROM d JOIN occ USING (key) WHERE occ <= 20), len AS (SELECT id, length(seq) AS n FROM d_q)"""
+# Documents of equal sequences are one class, named by its smallest id: a class is compared once.
+CLASSES = f"SELECT min(id) AS id, seq FROM ({DOCS}) GROUP BY seq"
+OVERLAPS = f"""WITH {RANKS},\n{seed_sql('d', CLASSES)}, {OCC}, few AS (SELECT DISTINCT key, id FROM d JOIN occ USING (key) WHERE occ <= (SELECT cap FROM cap)), len AS (SELECT id, length(seq) AS n FROM d_q)"""
 
 
-def shared_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = index.admitted(reference(spark, sf_dir), 20).select("key", "id").distinct()
-    return d.select("key", F.col("id").alias("a")).join(d.select("key", F.col("id").alias("b")), "key").groupBy("a", "b").agg(F.count("*").alias("shared")).where("a <> b and shared >= 5")
+def class_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One document (doc_id, text) of each class of equal sequences."""
+    d = table(spark, sf_dir, "documents").where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    kept = d.groupBy(F.sha2(sq.project(F.col("text")).cast("binary"), 256).alias("h")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    return d.join(kept, "doc_id", "left_semi")
+
+
+def shared_keys(spark: SparkSession, sf_dir: str, least: int = 5) -> DataFrame:
+    """(a, b, shared): pairs of classes with `least` common keys or more, under the index's own cap."""
+    d = cut(seeds.seeds(class_texts(spark, sf_dir), "doc_id"))
+    few = cut(index.admitted(d, index.resolved_cap(index.occurrences(d))).select("key", "id").distinct())
+    return few.select("key", F.col("id").alias("a")).join(few.select("key", F.col("id").alias("b")), "key").where("a <> b").groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
 
 
 @query("op_J08_all_pairs_overlap", OVERLAPS + " SELECT x.id AS a, y.id AS b, count(*) AS shared FROM few x JOIN few y USING (key) WHERE x.id <> y.id GROUP BY ALL HAVING count(*) >= 5")
@@ -289,15 +296,23 @@ def refined_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vote.refined(vote.ranked(vote.folded(vote.votes(m))), m)
 
 
-@query("op_V11_suppression")
+NMS = RANK + """, g AS (SELECT id, lane, list({'rank': rank, 'contig': contig, 'bin': bin, 'support': support, 'score': score, 'start': start} ORDER BY rank) AS peaks FROM ranked GROUP BY ALL),
+k AS (SELECT id, lane, list_reduce(list_transform(peaks, lambda p: [p]), lambda s, x: CASE WHEN len(s) >= 16 OR len(list_filter(s, lambda y: y.contig = x[1].contig AND abs(y.bin - x[1].bin) <= 2)) > 0 THEN s ELSE list_concat(s, x) END) AS kept FROM g)
+SELECT id, lane, p.rank, p.contig, p.bin, p.support, p.score, p.start FROM (SELECT id, lane, unnest(kept) AS p FROM k)"""
+
+
+@query("op_V11_suppression", NMS)
 def suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vote.suppressed(vote.ranked(vote.folded(vote.votes(matches(spark, sf_dir)))))
 
 
-@query("op_V15_query_stretches", f"WITH {RANKS},\n{seed_sql('q', READS)} SELECT id, floor(pos / 100)::BIGINT AS stretch, count(*) AS seeds, min(pos) AS first_pos FROM q GROUP BY ALL")
+@query("op_V15_query_stretches", f"""WITH {RANKS},\n{seed_sql('q', READS)}, n AS (SELECT id, greatest(1, length(seq) // 100) AS whole, length(seq) AS len FROM q_q),
+s AS (SELECT id, whole + CASE WHEN len > whole * 100 AND 2 * (len - whole * 100) >= 100 THEN 1 ELSE 0 END AS n FROM n)
+SELECT id, least(pos // 100, n - 1)::INT AS stretch, count(*) AS seeds, min(pos) AS first_pos FROM q JOIN s USING (id) GROUP BY ALL""")
 def stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Seeds by tumbling stretches of the query axis."""
-    return read_seeds(spark, sf_dir).groupBy("id", sq.floor_div(F.col("pos"), 100).alias("stretch")).agg(F.count("*").alias("seeds"), F.min("pos").alias("first_pos"))
+    """Seeds by tumbling stretches of the query axis; a short remainder belongs to the last whole one."""
+    rows = seeds.in_stretches(read_seeds(spark, sf_dir), read_lengths(spark, sf_dir), 100)
+    return rows.groupBy("id", "stretch").agg(F.count("*").alias("seeds"), F.min("pos").alias("first_pos"))
 
 
 @query("op_V19_merged_peaks", REFINE + """, m AS (SELECT id, contig, lane, r_lo, r_hi, max(r_hi) OVER (PARTITION BY id, contig, lane ORDER BY r_lo, r_hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM refined),
@@ -387,9 +402,9 @@ def op_sum_sql(kinds: str) -> str:
     return f"coalesce(list_sum(list_transform(regexp_extract_all(cigar, '([0-9]+)[{kinds}]', 1), lambda x: x::INT)), 0)::INT"
 
 
-@query("op_X25_K12_cigar_accounting", f"WITH t AS (SELECT l_orderkey, l_linenumber, {MAKE} AS cigar FROM lineitem) SELECT l_orderkey, l_linenumber, {op_sum_sql('MI=X')} AS query_span, {op_sum_sql('MDN=X')} AS target_span, {op_sum_sql('MID=X')} AS block_len, {op_sum_sql('ID')} AS gap_bases, len(regexp_extract_all(cigar, '[ID]'))::INT AS gap_opens, {op_sum_sql('SH')} AS clipped FROM t")
+@query("op_X25_K12_cigar_accounting", f"WITH t AS (SELECT l_orderkey, l_linenumber, {MAKE} AS cigar FROM lineitem) SELECT l_orderkey, l_linenumber, {op_sum_sql('MI=X')} AS query_span, {op_sum_sql('MDN=X')} AS target_span, {op_sum_sql('MID=X')} AS block_len, {op_sum_sql('M=')} AS matches, {op_sum_sql('ID')} AS gap_bases, len(regexp_extract_all(cigar, '[ID]'))::INT AS gap_opens, {op_sum_sql('SH')} AS clipped FROM t")
 def cigar_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cigars(spark, sf_dir).select("l_orderkey", "l_linenumber", *[c.alias(n) for n, c in records.accounting(F.col("cigar")).items()])
+    return cigars(spark, sf_dir).select("l_orderkey", "l_linenumber", records.accounted(F.col("cigar")).alias("a")).select("l_orderkey", "l_linenumber", "a.*")
 
 
 @query("op_K07_K15_clips", rf"WITH t AS (SELECT l_orderkey, l_linenumber, {MAKE} AS cigar FROM lineitem) SELECT l_orderkey, l_linenumber, regexp_replace(cigar, '^\d+S|\d+S$', '', 'g') AS paf_cigar, regexp_replace(regexp_replace(cigar, '^(\d+)S', '\1H'), '(\d+)S$', '\1H') AS hard FROM t")
@@ -397,7 +412,11 @@ def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cigars(spark, sf_dir).select("l_orderkey", "l_linenumber", records.strip_clips(F.col("cigar")).alias("paf_cigar"), records.hard_clip(F.col("cigar")).alias("hard"))
 
 
-@query("op_X23_max_segment")
+GAIN = "CASE right(x, 1) WHEN '=' THEN 2 WHEN 'X' THEN -8 WHEN 'I' THEN -2 WHEN 'D' THEN -2 ELSE 0 END * left(x, -1)::INT - CASE WHEN right(x, 1) IN ('I', 'D') THEN 12 ELSE 0 END"
+
+
+@query("op_X23_max_segment", f"""WITH t AS (SELECT l_orderkey, l_linenumber, list_prepend(0, list_transform(regexp_extract_all({MAKE}, '[0-9]+[MIDNSHP=X]'), lambda x: {GAIN})) AS g FROM lineitem)
+SELECT l_orderkey, l_linenumber, list_reduce(list_transform(g, lambda x: [x, 0, 0]), lambda s, x: [0, greatest(0, s[2] + x[1]), greatest(s[3], s[2] + x[1])])[3]::INT AS ms FROM t""")
 def max_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cigars(spark, sf_dir).select("l_orderkey", "l_linenumber", records.max_segment(records.cigar_ops(F.col("cigar"))).alias("ms"))
 
@@ -507,11 +526,9 @@ def sequence_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op_S20_reference_metadata", f"SELECT doc_id::VARCHAR AS name, length(s) AS length, row_number() OVER (ORDER BY doc_id::VARCHAR)::INT - 1 AS contig_id FROM {SEQ}")
 def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names in order with their lengths; names only are sorted, not sequences."""
-    from pyspark.sql import Window
-
+    """Names in order with their lengths; names only are sorted, not sequences, and by range."""
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("name"), F.length(sq.project(F.col("text"))).alias("length"))
-    return d.withColumn("contig_id", F.row_number().over(Window.orderBy("name")) - 1)
+    return ordering.numbered(d, "contig_id", ["name"]).select("name", "length", "contig_id")
 
 
 # --- base alignment ---------------------------------------------------------------------------------------------------
