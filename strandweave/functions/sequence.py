@@ -92,3 +92,37 @@ def name_hash(name: Column) -> Column:
     """Multiplicative string hash with 31, 32 bits; the value of the empty name is 0."""
     codes = F.transform(F.split(name, ""), lambda c: F.ascii(c).cast("long"))
     return F.aggregate(codes, F.lit(0).cast("long"), lambda h, c: F.pmod(h * 31 + c, F.lit(1 << 32)))
+
+
+def checked(x: Column) -> Column:
+    """A coordinate, null outside 0 to 2**31 - 1."""
+    return F.when((x >= 0) & (x <= 2147483647), x)
+
+
+def query_tile(position: Column, length: Column, seed: int, tiles: int) -> Column:
+    """The equal tile of the seed positions of a query that a position falls into."""
+    span = F.greatest(F.lit(1), length - seed + 1)
+    at = F.least(F.greatest(position, F.lit(0)), span - 1)
+    return F.least(F.lit(tiles - 1), F.floor(at * tiles / span)).cast("int")
+
+
+def tile_bounds(tile: Column, length: Column, seed: int, tiles: int) -> tuple[Column, Column, Column]:
+    """Begin, end (with the last seed's bases) and centre of a tile."""
+    span = F.greatest(F.lit(1), length - seed + 1)
+    up = lambda t: F.floor((t * span + tiles - 1) / tiles)
+    begin, end = F.floor(tile * span / tiles), F.least(length, up(tile + 1) + seed - 1)
+    first, last = up(tile), F.greatest(up(tile), up(tile + 1) - 1)
+    return begin.cast("int"), end.cast("int"), F.floor((first + last) / 2).cast("int")
+
+
+def rivals(b1: Column, e1: Column, b2: Column, e2: Column) -> Column:
+    """Whether two intervals share half of the shorter one, rounded down, and at least a base."""
+    over = F.least(e1, e2) - F.greatest(b1, b2)
+    return (over > 0) & (over >= F.floor(F.least(e1 - b1, e2 - b2) / 2))
+
+
+def size_of(text: Column) -> Column:
+    """A size with an optional suffix k, m or g (thousands); null where it is none."""
+    digits, unit = F.regexp_extract(text, r"(?i)^(\d+)([kmg]?)$", 1), F.lower(F.regexp_extract(text, r"(?i)^(\d+)([kmg]?)$", 2))
+    scale = F.when(unit == "k", 10**3).when(unit == "m", 10**6).when(unit == "g", 10**9).otherwise(1)
+    return F.when(digits != "", digits.cast("long") * scale)

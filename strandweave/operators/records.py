@@ -100,6 +100,11 @@ def divergence(mismatches: Column, gap_opens: Column, matches: Column) -> Column
     return F.when(mismatches + gap_opens == 0, "0").otherwise(F.format_string("%.4f", F.bround(d, 4)))
 
 
+def chain_divergence(matched: Column, total: Column, k: int) -> Column:
+    """Divergence that a share of matched seeds of k bases stands for."""
+    return 1.0 - F.pow(matched.cast("double") / total, F.lit(1.0 / k))
+
+
 def max_segment(ops: Column, match: int = 2, mismatch: int = 8, gap_open: int = 12, gap_extend: int = 2) -> Column:
     """Best score of any stretch of an alignment written with = and X."""
     gain = lambda o: F.when(o["op"] == "=", o["n"] * match).when(o["op"] == "X", o["n"] * -mismatch).when(o["op"].isin("I", "D"), -(o["n"] * gap_extend + gap_open)).otherwise(0)
