@@ -28,8 +28,8 @@ from strandweave.session import ship
 
 #: Added to the code point of a pre-token's last symbol, so that symbols with and without a word end differ.
 END = 0x4000
-WORDS, PAIRS = 250_000, 1_500_000
-_made: dict[str, WordBpe] = {}
+WORDS, PAIRS = 200_000, 500_000
+_made: dict[str, WordBpe] = text.stores.setdefault("bpe", {})
 
 
 def byte_symbols() -> list[str]:
@@ -150,33 +150,36 @@ class WordBpe:
 
     def word(self, raw: bytes) -> tuple[int, bytes, bytes]:
         """(number of tokens, decimal ids, token strings) of a stretch without ASCII white space."""
-        ids: list[int] = []
-        names: list[str] = []
         text_ = raw.decode("utf-8", "replace")
+        parts: list[tuple[int, bytes, bytes]] = []
         at = 0
         for m in self.special.finditer(text_) if self.special and "<" in text_ else ():
-            self._plain(text_[at : m.start()], ids, names)
-            ids.append(self.specials[m[0]])
-            names.append(m[0])
+            parts += self._plain(text_[at : m.start()])
+            parts.append((1, b"%d" % self.specials[m[0]], m[0].encode()))
             at = m.end()
-        self._plain(text_[at:], ids, names)
-        return len(ids), " ".join(map(str, ids)).encode(), " ".join(names).encode()
+        parts += self._plain(text_[at:])
+        if len(parts) == 1:
+            return parts[0]
+        return sum([p[0] for p in parts]), b" ".join([p[1] for p in parts]), b" ".join([p[2] for p in parts])
 
-    def _plain(self, text_: str, ids: list[int], names: list[str]) -> None:
+    def _plain(self, text_: str) -> list[tuple[int, bytes, bytes]]:
         if not text_.isascii():
             text_ = unicodedata.normalize("NFC", text_)
             text_ = "".join([c.lower() for c in text_])
         else:
             text_ = text_.lower()
-        for token in self.pattern.findall(text_):
+        out = []
+        tokens = self.pattern.findall(text_)
+        for token in tokens:
             known = self.tokens.get(token)
             if known is None:
                 s = "".join([self.symbols[b] for b in token.encode()])
                 ranks = self.pretoken(s[:-1] + chr(ord(s[-1]) + END))
-                known = [self.id_of[r] for r in ranks], [self.name[r] for r in ranks]
-                self.tokens.put(token, known)
-            ids += known[0]
-            names += known[1]
+                known = len(ranks), " ".join([str(self.id_of[r]) for r in ranks]).encode(), " ".join([self.name[r] for r in ranks]).encode()
+                if len(tokens) > 1:  # a word of one pre-token is kept as a word
+                    self.tokens.put(token, known)
+            out.append(known)
+        return out
 
     def document(self, data: bytes) -> tuple[int, bytes, str]:
         """(number of tokens, all decimal ids, SHA-256 of the decoded text)."""
@@ -239,7 +242,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     rows = docs.select("doc_id", F.col("text").cast("string").alias("_text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     names = ("n_tokens", "ids_sha256", "decoded_sha256")
-    return rows.mapInArrow(text.tidied(_mapper(vocab.shipped(spark, path), False, ["doc_id"], names)), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(text.tidied(_mapper(vocab.shipped(spark, path), False, ["doc_id"], names), "bpe"), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
@@ -249,7 +252,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     carry = [c for c in docs.columns if c not in names and c != "_text"]
     rows = docs.select(*[F.col(f"`{c}`") for c in carry], F.col("text").cast("string").alias("_text"))
     fields = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in carry)
-    return rows.mapInArrow(text.tidied(_mapper(vocab.shipped(spark, path), True, carry, names)), f"{fields}, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>")
+    return rows.mapInArrow(text.tidied(_mapper(vocab.shipped(spark, path), True, carry, names), "bpe"), f"{fields}, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids", to: str = "decoded") -> DataFrame:

@@ -158,10 +158,22 @@ def binary(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), rows.shape[0], [None, pa.py_buffer(np.arange(0, (rows.shape[0] + 1) * width, max(width, 1), dtype=np.int32)[: rows.shape[0] + 1].tobytes()), pa.py_buffer(flat)])
 
 
-def tidied(run):
-    """A mapInArrow function that gives freed memory back to the system when its task ends; workers are reused."""
+#: What operators keep in a worker between tasks, by name.
+stores: dict[str, dict] = {}
+
+
+def tidied(run, own: str = ""):
+    """A mapInArrow function that gives freed memory back to the system when its task ends; workers are reused.
+
+    Stores that other operators left in the worker are emptied first; `own` names the store of this one.
+    """
 
     def wrapped(batches):
+        from strandweave.llm import text  # the worker's module, whose stores are filled
+
+        for name, store in text.stores.items():
+            if name != own:
+                store.clear()
         try:
             yield from run(batches)
         finally:

@@ -29,7 +29,7 @@ from strandweave.session import ship
 HUGE, CHUNK, OVERLAP, AGREE = 32_768, 16_384, 256, 8
 SPACE = " \t\n\r\x0b\x0c"
 WORDS = 400_000
-_made: dict[str, Counter] = {}
+_made: dict[str, Counter] = text.stores.setdefault("token_count", {})
 
 
 def drops_space(source: bytes) -> bool:
@@ -185,4 +185,4 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     spark = ship(docs.sparkSession)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(text.tidied(_mapper(vocab.shipped(spark, path), limit)), f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return rows.mapInArrow(text.tidied(_mapper(vocab.shipped(spark, path), limit), "token_count"), f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
