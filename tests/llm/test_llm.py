@@ -182,6 +182,34 @@ def test_empty_tables(spark):
         assert df.count() == 0
 
 
+def test_long_texts_pass_whole(spark):
+    """Texts of megabytes, with and without white space, beside short ones, through all operators."""
+    rng = random.Random(33)
+    vocabulary = ["".join(rng.choice("abcdefghijklmno") for _ in range(rng.randint(2, 7))) for _ in range(3000)]
+    spaced = " ".join(rng.choice(vocabulary) for _ in range(400_000))
+    solid = "".join(rng.choice(vocabulary) for _ in range(40_000))
+    rows = [(1, spaced, "en", "a", 0), (2, solid, "en", "a", 0), (3, spaced + " x", "en", "b", 0), (4, "short one", "en", "b", 0), (5, solid, "de", "b", 0)]
+    table, path = docs(spark, rows).repartition(2), vocab.path_of(vocab.WORD_BPE)
+    of = lambda df, c: {r.doc_id: r[c] for r in df.collect()}
+    near = of(near_dedup.near_duplicates(table), "component_id")
+    assert near == {1: 1, 2: 2, 3: 1, 4: 4, 5: 2}
+    assert of(exact_dedup.exact_classes(table), "keep_id") == {1: 1, 2: 5, 3: 3, 4: 4, 5: 5}
+    assert of(mixing.taken(table), "size")[1] == 400_000
+    lib = library()
+    counts = {r[0]: len(lib.encode(r[1], add_special_tokens=False).ids) for r in rows}
+    assert of(token_count.token_counts(table, path), "n_tokens") == of(bpe.digests(table, path), "n_tokens") == counts
+    labels = spark.createDataFrame([(1, 1, 0), (4, 0, 0)], "doc_id long, quality int, toxic int")
+    assert all(0 <= x <= 1 for x in of(quality.quality(table, labels), "score").values())
+    prints = of(fingerprint.fingerprints(table), "near_next")
+    assert len(prints) == 5 and all(0 <= x <= 1 for x in prints.values())
+    assert {r.doc_id for r in passage_dedup.repeats(table).collect()} == {1, 3}
+    scores = of(lm_score.lm_scores(table, vocab.path_of(vocab.PIECES)), "score")
+    assert len(scores) == 5 and all(math.isfinite(x) and x < 0 for x in scores.values()) and scores[2] == scores[5]
+    page = lambda body: (1, "http://a.org/1", f"<html><nav>menu</nav><article><p>{body}</p></article></html>")
+    pages = spark.createDataFrame([page(spaced), page(solid), page("&amp;" * 100_000)], "page_id long, url string, html string")
+    assert sorted(r.n_chars for r in html_extract.extract(pages).collect()) == sorted([len(spaced), len(solid), 100_000])
+
+
 def test_exact_classes_and_index(spark):
     rows = CASES + [(20 + i, "copy", "en", "a", 4) for i in range(50)]
     groups = collections.defaultdict(list)
