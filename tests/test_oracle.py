@@ -11,7 +11,6 @@ import __spark_entry__ as entry
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 ORACLES = entry.oracle_sql()
-SLOW = {"op_F10_reference_seeds", "op_A02_sorted_postings", "op_A09_occurrence_without_self", "op_J08_all_pairs_overlap"}
 
 
 @pytest.fixture(scope="module")
@@ -31,7 +30,7 @@ def plain(v):
     return str(v)
 
 
-@pytest.mark.parametrize("name", sorted(set(ORACLES) - SLOW))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_twin(spark, duck, name):
     df = entry.queries()[name](spark, DIR)
     columns = sorted(df.columns)
