@@ -5,8 +5,8 @@ floor(rate) times plus once more with probability equal to the rate's fraction,
 
 A null or empty text has size 0 and is emitted like any other of its source, adding no words. Sources are ordered by
 code point, null last; null is a source of its own. A source whose documents hold no words has target 0 and rate 0, so
-its documents are not taken. Rows with a null doc_id share one hash. Extra columns are carried; working columns start
-with an underscore.
+its documents are not taken. Rows with a null doc_id share one hash; repeated rows are taken alike. Texts of any length
+are counted whole. An empty table gives no rows. `emit` carries extra columns, whatever their names; `taken` ignores them.
 """
 
 from __future__ import annotations
@@ -73,11 +73,14 @@ def plan(docs: DataFrame, seed: int = 17, weights: tuple[float, ...] = WEIGHTS,
 
 def emit(docs: DataFrame, seed: int = 17) -> DataFrame:
     """The mix itself: each document as often as it is taken, with the columns of docs."""
-    planned = plan(docs, seed).withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies"))))
-    return planned.select(*[F.col(f"`{c}`") for c in docs.columns])
+    inner = [f"c{i}" for i in range(len(docs.columns))]  # names of docs cannot clash with ours
+    of = dict(zip(docs.columns, inner, strict=True))
+    work = docs.toDF(*inner).withColumns({c: F.col(of[c]) for c in ("doc_id", "text", "source")})
+    planned = plan(work, seed).withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies"))))
+    return planned.select(*inner).toDF(*docs.columns)
 
 
 def taken(docs: DataFrame, seed: int = 17) -> DataFrame:
     """(doc_id, size, source_size, target, taken) of every document."""
-    p = plan(docs, seed)
+    p = plan(docs.select("doc_id", "text", "source"), seed)
     return p.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"))

@@ -76,3 +76,31 @@ def test_stages(spark, tmp_path):
     again = corpus_pipeline.run(spark, str(tmp_path))
     key = F.concat_ws("|", "doc_id", "ids_sha256")
     assert sorted(r[0] for r in again.select(key).collect()) == sorted(r[0] for r in docs.select(key).collect())
+
+
+CLASHES = ("score", "predicted", "_text", "body", "c0", "sha", "text_sha256", "keep_id", "_keep", "_kept", "n", "key", "rid", "label", "_size", "_source_size", "_target", "_copies", "_copy", "_s", "_rate", "n_shingles", "kept", "host", "h")
+
+
+def test_stages_carry_columns_of_any_name_and_empty_tables(spark, tmp_path):
+    """Extra columns whose names are those of working columns stay as they are; no rows give no rows."""
+    rows = corpus(9, 3) + CASES[:4]
+    plain = spark.createDataFrame(rows, SCHEMA)
+    docs = plain.withColumns({c: F.concat(F.lit(c), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) for c in CLASHES})
+    spark.createDataFrame([(r[0], 1, 0) for r in rows], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    names = [*corpus_pipeline.COLUMNS, *CLASHES]
+    before = len(rows)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = cut(stage(spark, docs, str(tmp_path)))
+        assert docs.columns == names
+        found = docs.collect()
+        assert 0 < len(found) <= (2 * before if name == "mixing" else before)
+        assert all(r[c] == c + ("" if r.doc_id is None else str(r.doc_id)) for r in found for c in CLASHES), name
+        before = len(found)
+    name, stage = corpus_pipeline.STAGES[-1]
+    assert stage(spark, docs, str(tmp_path)).count() == before
+    for table in (plain.where("false"), docs.where("false")):
+        for _, stage in corpus_pipeline.STAGES:
+            assert stage(spark, table, str(tmp_path)).count() == 0
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/none/labels.parquet")
+    plain.where("false").write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
