@@ -70,6 +70,102 @@ def test_chain_prefers_the_collinear_runs():
     assert out.n_runs.sum() == 3
 
 
+def random_runs(seed, groups):
+    """Runs of several groups, some of them too light for any chain."""
+    rng = np.random.RandomState(seed)
+    rows = []
+    for g in range(groups):
+        for _ in range(rng.randint(1, 9)):
+            r, size = int(rng.randint(0, 900)), int(rng.randint(0, 30))
+            d = int(rng.choice([0, 0, 3, 20, 200]))
+            rows.append((g // 3, g % 3, g % 2, d, r, r + size, r - d, r - d + size, size // 5 + 1, size + 15))
+    return list({(x[0], x[1], x[2], x[4], x[6]): x for x in rows}.values())
+
+
+def brute_best(runs, reach=5000, band=500):
+    """The best chain score of one group, by the definition: over all predecessors of each run, without any bound."""
+    import functools
+    import math
+
+    @functools.lru_cache(None)
+    def score(x):
+        best = x[9]
+        for y in runs:
+            dr, dq = x[5] - y[5], x[7] - y[7]
+            dd = abs(dr - dq)
+            if y != x and dr > 0 and dq > 0 and x[4] >= y[4] and x[6] >= y[6] and x[4] - y[5] <= reach and x[6] - y[7] <= reach and dd <= band:
+                best = max(best, score(y) + math.floor(min(x[9], min(dr, dq)) - (0.168 * dd + 0.5 * math.log2(dd + 1) if dd else 0)))
+        return best
+
+    return max(score(x) for x in runs)
+
+
+def test_chains_of_groups_equal_brute_force(spark):
+    """The best chain of every group that reaches the floor, and no chain of any other group."""
+    rows = random_runs(3, 60)
+    dense = spark.createDataFrame(rows, "id long, contig long, lane int, d int, r_lo int, r_hi int, q_lo int, q_hi int, n long, weight int")
+    found = chain.chains(dense, least=60).groupBy("id", "contig", "lane").agg(F.max("score").alias("score")).collect()
+    want = {}
+    for key in {x[:3] for x in rows}:
+        best = brute_best(tuple(x for x in rows if x[:3] == key))
+        if best >= 60:
+            want[key] = best
+    assert 5 < len(want) < len({x[:3] for x in rows})
+    assert {(r.id, r.contig, r.lane): r.score for r in found} == want
+
+
+def test_owners_equal_a_plain_walk(spark):
+    rng = np.random.RandomState(8)
+    rows = []
+    for i in range(12):
+        for c in range(rng.randint(1, 8)):
+            lo = int(rng.randint(0, 200))
+            rows.append((i, c, 0, 0, float(rng.randint(40, 60)), 1, 3, 20, lo, lo + int(rng.randint(20, 120)), lo, lo + 50, 400))
+    names = [f.split()[0] for f in chain.CHAINS.split(", ")] + ["length"]
+    got = chain.owners(spark.createDataFrame(rows, f"{chain.CHAINS}, length int")).collect()
+    for i in range(12):
+        own = sorted((dict(zip(names, r, strict=True)) for r in rows if r[0] == i), key=lambda r: (-r["score"], r["contig"], r["r_lo"], r["lane"], r["q_lo"]))
+        parent, second, rivals = {}, {}, {}
+        for k, r in enumerate(own):
+            parent[k] = k
+            for o in range(k):
+                p = own[o]
+                if parent[o] == o and min(r["q_hi"], p["q_hi"]) - max(r["q_lo"], p["q_lo"]) > 0.5 * min(r["q_hi"] - r["q_lo"], p["q_hi"] - p["q_lo"]):
+                    parent[k] = o
+                    second[o], rivals[o] = max(second.get(o, 0), r["score"]), rivals.get(o, 0) + (r["score"] >= 0.8 * p["score"])
+                    break
+        for r in (r for r in got if r.id == i):
+            assert own[r["rank"]]["contig"] == r.contig and (r.parent, r.f2, r.n_sub) == (parent[r["rank"]], second.get(r["rank"], 0), rivals.get(r["rank"], 0))
+
+
+def test_numbers_by_range_and_budgets(spark):
+    from strandweave.operators import ordering
+
+    rows = [(f"n{i % 37:02d}", i) for i in range(500)]
+    got = ordering.numbered(spark.createDataFrame(rows, "name string, i int"), "at", ["name", "i"]).collect()
+    assert [(r.name, r.i) for r in sorted(got, key=lambda r: r.at)] == sorted(rows) and sorted(r.at for r in got) == list(range(500))
+    lengths = [3, 9, 30, 1, 1, 8, 2]
+    one = spark.createDataFrame([(lengths,)], "x array<bigint>").select(ordering.budgeted(F.col("x"), 10, True).alias("a"), ordering.budgeted(F.col("x"), 10, False).alias("b")).first()
+    assert one.a == [0, 0, 1, 2, 2, 2, 3] and one.b == [0, 1, 2, 3, 3, 3, 4]
+
+
+def test_hashes_against_plain_integers(spark):
+    from strandweave.functions import hashes
+
+    def split(x):
+        x = (x + hashes.SPLIT_STEP) % 2**64
+        x = (x ^ x >> 30) * hashes.SPLIT[0] % 2**64
+        x = (x ^ x >> 27) * hashes.SPLIT[1] % 2**64
+        return x ^ x >> 31
+
+    some = np.array([0, 1, 12345, 2**40 + 7, 2**63, 2**64 - 1], dtype=np.uint64)
+    assert hashes.split_mix(some).tolist() == [split(int(x)) for x in some]
+    keys = np.arange(1 << 12, dtype=np.uint64)
+    assert len(np.unique(hashes.shard_mix(keys, 12))) == 1 << 12  # one to one
+    x = np.float32(2.0) ** np.arange(1, 20, dtype=np.float32) * np.float32(1.3)
+    assert np.abs(hashes.log2_bits(x) - np.log2(x)).max() < 0.01
+
+
 def test_cigar_functions(spark):
     row = spark.createDataFrame([("5S10M2I3D7M4S",)], "c string")
     a = row.select(records.accounted(F.col("c")).alias("a")).select("a.*").first()
