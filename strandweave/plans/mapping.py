@@ -35,21 +35,32 @@ def reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seeds.seeds(table(spark, sf_dir, "documents"), "doc_id")
 
 
-def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reads as sequences; odd ones are reverse-complemented. Written in letters whose projection is the sequence."""
-    b = table(spark, sf_dir, "benchmark")
+def as_reads(benchmark: DataFrame) -> DataFrame:
+    """Reads as sequences; odd ones are reverse-complemented."""
     seq = sq.project(F.col("text"))
-    return b.select("item_id", F.when(F.col("item_id") % 2 == 1, sq.reverse_complement(seq)).otherwise(seq).alias("seq"))
+    return benchmark.select("item_id", F.when(F.col("item_id") % 2 == 1, sq.reverse_complement(seq)).otherwise(seq).alias("seq"))
 
 
-def read_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bases back to letters: a b c d project to A C G T."""
+def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_reads(table(spark, sf_dir, "benchmark"))
+
+
+def seeds_of(own: DataFrame) -> DataFrame:
+    """Seeds of reads. Bases go back to letters: a b c d project to A C G T."""
     letters = F.translate(F.col("seq"), "ACGTN", "abcd#")
-    return seeds.seeds(reads(spark, sf_dir).select("item_id", letters.alias("text")), "item_id")
+    return seeds.seeds(own.select("item_id", letters.alias("text")), "item_id")
+
+
+def lengths_of(own: DataFrame) -> DataFrame:
+    return own.select(F.col("item_id").cast("long").alias("id"), F.length("seq").alias("length"))
+
+
+def read_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return seeds_of(reads(spark, sf_dir))
 
 
 def read_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reads(spark, sf_dir).select(F.col("item_id").cast("long").alias("id"), F.length("seq").alias("length"))
+    return lengths_of(reads(spark, sf_dir))
 
 
 def admitted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,10 +125,31 @@ refined AS (SELECT p.id, p.lane, p.contig, p.bin, count(DISTINCT q) AS exact, mi
   FROM ranked p JOIN hits h ON h.id = p.id AND h.lane = p.lane AND h.contig = p.contig AND floor((r - q) / 64) BETWEEN p.bin - 1 AND p.bin + 1 GROUP BY ALL)"""
 
 
-@query("op_slice_placements", RANK + " SELECT id, lane, contig, bin, support, start, score FROM ranked WHERE rank = 1")
+def best_places(hits: DataFrame) -> DataFrame:
+    return vote.best(vote.ranked(vote.folded(vote.votes(hits)))).drop("rank")
+
+
+PLACES = RANK + " SELECT id, lane, contig, bin, support, start, score FROM ranked WHERE rank = 1"
+
+
+@query("op_slice_placements", PLACES)
 def placements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: the best document, strand and place of each benchmark passage."""
-    return vote.best(vote.ranked(vote.folded(vote.votes(matches(spark, sf_dir))))).drop("rank")
+    return best_places(matches(spark, sf_dir))
+
+
+@query("op_T02_T03_streamed_placements", PLACES)
+def streamed_placements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for passages that arrive as a stream: each micro-batch probes the index, which is built once."""
+    from strandweave.streaming import events
+
+    index_rows = cut(admitted(spark, sf_dir))
+
+    def place(batch: DataFrame) -> DataFrame:
+        own = as_reads(batch)
+        return best_places(vote.hits(seeds_of(own), index_rows, lengths_of(own)))
+
+    return events.mapped(events.source(spark, sf_dir, "benchmark"), place)
 
 
 # --- seeds and index --------------------------------------------------------------------------------------------------

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +30,25 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).option("basePath", f"{root}/out").parquet(f"{root}/out")
 
 
+def mapped(stream: DataFrame, place: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What `place` gives for each micro-batch of a stream of queries, run to its end (availableNow).
+
+    A query comes whole in one row, so batches are mapped apart and nothing is kept between them; a batch that runs again
+    after a failure replaces its own folder. A stream without rows gives none.
+    """
+    spark = stream.sparkSession
+    root = f"{shared_dir(spark)}/stream_{uuid.uuid4().hex}"
+    schema = place(spark.createDataFrame([], stream.schema)).schema
+    spark.createDataFrame([], schema).write.parquet(f"{root}/out/batch=-1")
+
+    def put(batch: DataFrame, n: int) -> None:
+        place(batch).write.mode("overwrite").parquet(f"{root}/out/batch={n}")
+
+    q = stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(schema).option("basePath", f"{root}/out").parquet(f"{root}/out").select(*schema.names)
+
+
 def timed(events: DataFrame) -> DataFrame:
     """Watermarks need a timestamp with the session's time zone."""
     return events.withColumn("ts", F.col("ts").cast("timestamp"))
