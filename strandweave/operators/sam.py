@@ -167,3 +167,11 @@ def floor_promoted(records: DataFrame, least: int) -> DataFrame:
     """records (id, seg, score) of a placement that reach the floor; the first of them is the head (seg 0)."""
     kept = records.where(F.col("score") >= least)
     return kept.withColumn("seg", F.row_number().over(Window.partitionBy("id").orderBy("seg")) - 1)
+
+
+def retained_alternatives(records: DataFrame, ratio: float = 0.8, near: int = 30, most: int = 5) -> DataFrame:
+    """(id, alt, score) of alternatives that come within `ratio` or `near` points of their query's primary, `most` at most."""
+    own = records.where("alt = 0 and seg = 0").select("id", F.col("score").alias("_own"))
+    heads = records.where("alt > 0 and seg = 0").join(own, "id").where((F.col("score") >= ratio * F.col("_own")) | (F.col("score") + near >= F.col("_own")))
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "alt"))
+    return heads.withColumn("_n", rank).where(F.col("_n") <= most).select("id", "alt", "score")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from strandweave.functions import hashes
 from strandweave.functions import sequence as sq
-from strandweave.operators import index, ordering, records, sam, seeds
+from strandweave.operators import index, intervals, ordering, records, sam, seeds
 from strandweave.plans.mapping import KEY_HASH, OCC, RANKS, READS, REF, query, read_lengths, read_seeds, reference, seed_sql
 from strandweave.session import table
 
@@ -283,13 +283,39 @@ w AS (SELECT *, max(hi) OVER (PARTITION BY id ORDER BY lo, hi, k ROWS BETWEEN UN
 SELECT id, sum(least(covered, greatest(0, hi - greatest(lo, coalesce(reach, -1)))))::BIGINT AS evidence FROM w GROUP BY id""")
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seed evidence of envelopes, no query base counted twice; a customer stands for an envelope."""
-    from strandweave.operators import intervals
-
     k = F.col("o_orderkey")
     p = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), (k % 1000).alias("lo"), (k % 1000 + 20 + k % 90).alias("hi"), (k % 60).alias("covered"), k.alias("k"))
     return intervals.evidence(p, "id", ["k"])
 
 
+SPANS = "(SELECT o_custkey AS id, o_orderkey % 1000 AS lo, o_orderkey % 1000 + 20 + o_orderkey % 90 AS hi, o_orderkey AS k FROM orders)"
+
+
+def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intervals of a customer's orders, which stand for anchors of a query."""
+    k = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), (k % 1000).alias("lo"), (k % 1000 + 20 + k % 90).alias("hi"), k.alias("k"))
+
+
+@query("op_C25_anchor_union", f"WITH w AS (SELECT *, max(hi) OVER (PARTITION BY id ORDER BY lo, hi, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM {SPANS}) SELECT id, sum(greatest(0, hi - greatest(lo, coalesce(reach, lo))))::BIGINT AS bases FROM w GROUP BY id")
+def anchor_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.covered(spans(spark, sf_dir), "id", ["k"])
+
+
+@query("op_O10_C27_uncovered_intervals", f"""WITH w AS (SELECT *, max(hi) OVER (PARTITION BY id ORDER BY lo, hi, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM {SPANS}),
+g AS (SELECT id, greatest(coalesce(reach, 0), 0) AS lo, least(lo, 1200) AS hi FROM w UNION ALL SELECT id, greatest(max(hi), 0), 1200 FROM w GROUP BY id) SELECT id, lo, hi FROM g WHERE hi - lo >= 100""")
+def uncovered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stretches of 100 bases or more of a query of 1,200 that no interval covers."""
+    whole = intervals.merged(spans(spark, sf_dir), ["id"])
+    return intervals.complement(whole, ["id"], "lo", "hi", F.lit(0), F.lit(1200), least=100)
+
+
+@query("op_P04_retained_alternatives", R + """, o AS (SELECT id, score AS own FROM r WHERE alt = 0 AND seg = 0), n AS (SELECT r.id, alt, score, row_number() OVER (PARTITION BY r.id ORDER BY score DESC, alt) AS n FROM r JOIN o USING (id) WHERE alt > 0 AND seg = 0 AND (score >= 0.8::DOUBLE * own OR score + 30 >= own))
+SELECT id, alt, score FROM n WHERE n <= 1""")
+def retained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sam.retained_alternatives(rows(spark, sf_dir), most=1)
+
+
 @query("op_X17_chain_divergence", "SELECT l_orderkey, l_linenumber, round(1 - pow(l_linenumber::DOUBLE / (l_linenumber + l_quantity), 1.0::DOUBLE / 15), 9) AS divergence FROM lineitem")
 def chain_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(records.chain_divergence(F.col("l_linenumber"), F.col("l_linenumber") + F.col("l_quantity"), 15), 9).alias("divergence"))
