@@ -9,13 +9,18 @@ Edited passages are found as paragraphs. A text is read as sentences (cut at lin
 space, and inside long runs where a word's hash says so). A paragraph is the shortest run of whole sentences from a given
 one that has PARAGRAPH words or more.
 
-1. Sentences that occur in two documents are found by an aggregation of their hashes. An edit changes few sentences of a
-   passage, so at least half of the words of a paragraph lie in shared ones; it can begin at any sentence.
+1. Of the runs of SEED = 10 words in each SPAN = 24 words the smallest hash is a seed (winnowing); texts with 24 equal
+   words in a row share one. A paragraph is a candidate if one of its seeds occurs in two documents, whatever its
+   sentences: in 50 words at a similarity of 0.8 one word can be changed, and 24 equal words stand before or after it.
+   Equal runs are looked for only where all seeds of a run occur in two documents, as those of a repeated run do.
 2. Equal paragraphs are collapsed. Different ones are joined on bands of MinHash symbols and an anchor: BANDS bands of
-   ROWS symbols, a recall of 1 - (1 - 0.8**3)**8 = 0.997 at a similarity of 0.8 of pairs with a common anchor. Anchors
-   are the first and the last shared sentence of a paragraph with their place in it, or the first sentence alone where
-   it is shared. They keep overlapping paragraphs of one text apart. A pair of 0.8 has room for one changed word in 50,
-   so one of the two is equal unless both ends of a paragraph are edited; such pairs may be missed.
+   ROWS symbols, a recall of 1 - (1 - 0.8**2)**8 = 0.9997 at a similarity of 0.8 of pairs with a common anchor. Anchors
+   are the first and the last 24 words, and the smallest run of 10 words that leaves out 5 at either end, with its place
+   from the begin and with that from the end. They keep overlapping paragraphs of one text apart, which would chain a
+   whole text to what one part of it repeats. Pairs with changes in one place share the first or last words, pairs
+   changed at both ends the inner run, as long as its place from one end is the same. What can be missed is a pair with
+   words put in or left out on both sides of all that is equal, or with changes in the first words, the last ones and
+   the inner run at once (paragraphs of 90 words and more have room for that).
 3. Colliding paragraphs are confirmed by the exact Jaccard similarity of their five-word shingles, and clustered by
    connected components. A cluster's paragraph in its smallest document stays, those in other documents are removed;
    overlapping spans with the same verdict are reported as one.
@@ -43,10 +48,13 @@ WORDS = 43
 STEP = 8
 #: Least words of a paragraph: one changed word in 50 leaves a similarity of 0.8 of five-word shingles.
 PARAGRAPH = 50
-LEAST_SENTENCE = 3
 LONG = 48
-BANDS, ROWS = 8, 3
-SYMBOLS = BANDS * ROWS
+#: Words of a seed, and of a stretch whose smallest seed is taken: of 50 words or more with one changed, 24 in a row are equal.
+SEED, SPAN = 10, 24
+#: Words at either end of a paragraph that the inner seed leaves out; bits for a seed's place in its text.
+EDGE, PLACE = 5, U(28)
+ANCHORS, BANDS, ROWS = 4, 8, 2
+SYMBOLS = 24
 #: Differing symbols of a pair to confirm; a pair of similarity 0.8 has 4.8 of 24 on average.
 RADIUS = 14
 PERCENT = 80
@@ -84,79 +92,80 @@ def winnowed(hashes: np.ndarray, step: int = STEP) -> np.ndarray:
     return np.unique(np.lib.stride_tricks.sliding_window_view(hashes, step).argmin(axis=1) + np.arange(len(hashes) - step + 1))
 
 
-def _windows(least: int) -> Callable:
-    """(doc_id, text) to (wid, doc_id, b): the winnowed runs of `least` words of each text."""
+def least_of(hashes: np.ndarray, step: int) -> np.ndarray:
+    """The smallest of each `step` neighbours."""
+    out, width = hashes, 1
+    while width < step:
+        by = min(width, step - width)
+        out = np.minimum(out[: len(out) - by], out[by:])
+        width += by
+    return out
+
+
+def _seeds(least: int) -> Callable:
+    """(doc_id, text) to (wid, doc_id): the seed of each SPAN words in a row of texts of `least` words or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text.pieces(batch, "text"):
                 words, bounds = text.word_hashes(part.column("text"))
-                at = np.arange(max(len(words) - least + 1, 0))
-                hashes = text.runs(words, at, at + least)
-                own = [winnowed(hashes[bounds[i] : max(bounds[i], bounds[i + 1] - least + 1)]) for i in range(part.num_rows)]
-                row = np.repeat(np.arange(part.num_rows), [len(x) for x in own])
-                b = np.concatenate(own)
-                yield pa.RecordBatch.from_arrays([pa.array(hashes[bounds[row] + b].astype(np.int64)), pa.array(part.column("doc_id").to_numpy()[row]), pa.array(b.astype(np.int32))], ["wid", "doc_id", "b"])
+                at = np.arange(max(len(words) - SEED + 1, 0))
+                if len(words) < least:
+                    continue
+                seeds = least_of(text.runs(words, at, at + SEED), SPAN - SEED + 1)
+                row = np.searchsorted(bounds, np.arange(len(seeds)), side="right") - 1
+                own = (np.arange(len(seeds)) + SPAN <= bounds[row + 1]) & (np.diff(bounds)[row] >= least)
+                first = np.concatenate([[True], (seeds[1:] != seeds[:-1]) | (row[1:] != row[:-1])])
+                at = np.flatnonzero(own & first)
+                yield pa.RecordBatch.from_arrays([pa.array(seeds[at].astype(np.int64)), pa.array(part.column("doc_id").to_numpy()[row[at]])], ["wid", "doc_id"])
 
     return run
 
 
-def _sentence_lists(least: int) -> Callable:
-    """(doc_id, text) to (doc_id, hs, ns): hashes and numbers of words of the sentences of texts of `least` words or more."""
+def _candidates(least: int, paragraph: int) -> Callable:
+    """(doc_id, text, marks) to (kind, wid, anchors, doc_id, b, e): the runs (kind 0) and paragraphs (kind 1) with shared seeds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text.pieces(batch, "text"):
-                _, bounds, cuts, sb, hashes = sentences(part.column("text"))
-                sizes = np.diff(cuts).astype(np.int32)
-                long = np.flatnonzero(np.diff(bounds) >= least)
-                hs, ns = ([x[sb[i] : sb[i + 1]].tobytes() for i in long] for x in (hashes, sizes))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(long)), pa.array(hs, pa.binary()), pa.array(ns, pa.binary())], ["doc_id", "hs", "ns"])
+                words, bounds, cuts, sb, _ = sentences(part.column("text"))
+                out: list[tuple] = []
+                for i, (doc_id, marks) in enumerate(zip(part.column("doc_id").to_pylist(), part.column("marks").to_pylist(), strict=True)):
+                    own, n = words[bounds[i] : bounds[i + 1]], int(bounds[i + 1] - bounds[i])
+                    if n < SPAN:
+                        continue
+                    tens = text.runs(own, np.arange(n - SEED + 1), np.arange(SEED, n + 1))
+                    open_at = np.isin(least_of(tens, SPAN - SEED + 1), np.array(marks, dtype=np.int64).astype(U))
+                    shared = np.concatenate([[0], np.cumsum(open_at)])
+                    if n >= least:  # a run that two documents hold has shared seeds only
+                        at = np.arange(n - least + 1)
+                        hashes, inside = text.runs(own, at, at + least), max(least - SPAN + 1, 0)
+                        b = winnowed(hashes)
+                        b = b[shared[b + inside] - shared[b] == inside]
+                        out.append((0, hashes[b], np.zeros((len(b), ANCHORS), U), doc_id, b, b + least))
+                    starts = cuts[sb[i] : sb[i + 1] + 1] - bounds[i]
+                    end = np.searchsorted(starts, starts[:-1] + paragraph)  # the first sentence bound with enough words
+                    b, e = starts[:-1][end < len(starts)], starts[end[end < len(starts)]]
+                    some = shared[e - SPAN + 1] > shared[b]
+                    b, e = b[some], e[some]
+                    if len(b):
+                        out.append((1, text.runs(own, b, e), _anchors(own, tens, b, e), doc_id, b, e))
+                if out:
+                    kind, docs = (np.repeat(np.array([x[k] for x in out], dtype=np.int64), [len(x[1]) for x in out]) for k in (0, 3))
+                    wid, b, e = (np.concatenate([x[k] for x in out]).astype(np.int64) for k in (1, 4, 5))
+                    yield pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int32)), pa.array(wid), text.binary(np.concatenate([x[2] for x in out])), pa.array(docs), pa.array(b), pa.array(e)], ["kind", "wid", "anchors", "doc_id", "b", "e"])
 
     return run
 
 
-def _listed(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    for doc_id, hs, ns in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "hs", "ns")], strict=True):
-        yield doc_id, np.frombuffer(hs, dtype=U), np.frombuffer(ns, dtype=np.int32)
-
-
-def _sentence_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, hs, ns) to (h, doc_id, s): each sentence of LEAST_SENTENCE words or more."""
-    for batch in batches:
-        out = [(hs[at], np.full(len(at), doc_id), at) for doc_id, hs, ns in _listed(batch) for at in [np.flatnonzero(ns >= LEAST_SENTENCE)]]
-        if out:
-            h, docs, at = (np.concatenate(x) for x in zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(docs.astype(np.int64)), pa.array(at.astype(np.int32))], ["h", "doc_id", "s"])
-
-
-def _paragraphs(least: int) -> Callable:
-    """(doc_id, hs, ns, marks) to (wid, fu, lu, doc_id, b, e): the paragraphs of marked sentences for at least half, with two anchors."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple] = []
-            for (doc_id, hashes, sizes), marks in zip(_listed(batch), batch.column("marks").to_pylist(), strict=True):
-                own = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
-                shared = np.zeros(len(sizes), dtype=np.int64)
-                shared[marks] = 1
-                inside = np.concatenate([[0], np.cumsum(shared * sizes)])
-                first = np.arange(len(shared))
-                end = np.searchsorted(own, own[first] + least)  # the first sentence bound with enough words
-                ok = end < len(own)
-                first, end = first[ok], end[ok]
-                half = 2 * (inside[end] - inside[first]) >= own[end] - own[first]
-                first, end = first[half], end[half]
-                if len(first):
-                    marked = np.flatnonzero(shared)
-                    low, high = marked[np.searchsorted(marked, first)], marked[np.searchsorted(marked, end) - 1]
-                    at_low, at_high = (text.mix(hashes[x] + (x - first).astype(U) * _MUL[7] + (end - first).astype(U) * _MUL[8]) for x in (low, high))
-                    out.append((text.runs(hashes, first, end), np.where(low == first, hashes[first], at_low), at_high, np.full(len(first), doc_id), own[first], own[end]))
-            if out:
-                ids, fu, lu, docs, b, e = (np.concatenate(x) for x in zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (ids, fu, lu, docs, b, e)], ["wid", "fu", "lu", "doc_id", "b", "e"])
-
-    return run
+def _anchors(words: np.ndarray, tens: np.ndarray, b: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """The ANCHORS of the paragraphs (b, e), a row each: first SPAN words, last SPAN words, the inner seed by its place from either end."""
+    place = np.arange(len(tens), dtype=np.int64).astype(U)
+    packed = np.append((tens >> PLACE << PLACE) | place, U(0))
+    inner = np.minimum.reduceat(packed, np.stack([b + EDGE, e - EDGE - SEED + 1], axis=1).reshape(-1))[::2]
+    at = (inner & ((U(1) << PLACE) - U(1))).astype(np.int64)
+    out = [text.runs(words, b, b + SPAN), text.runs(words, e - SPAN, e), tens[at] + (at - b).astype(U) * _MUL[7], tens[at] + (e - at).astype(U) * _MUL[7]]
+    return np.stack([text.mix(x + _MUL[8 + k]) for k, x in enumerate(out)], axis=1)
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,19 +187,17 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rid, fu, lu, sig) to (key, rid): the bands under each anchor."""
+    """(rid, anchors, sig) to (key, rid): the bands under each anchor."""
     for batch in batches:
         if batch.num_rows:
-            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), dtype=np.uint16).reshape(-1, BANDS, ROWS).astype(U)
+            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), dtype=np.uint16).reshape(-1, SYMBOLS)[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS).astype(U)
             key = np.zeros(sig.shape[:2], dtype=U)
             for r in range(ROWS):
                 key = (key + sig[:, :, r] + U(1)) * _MUL[r]
                 key ^= key >> U(30)
-            rid, fu, lu = (batch.column(c).to_numpy() for c in ("rid", "fu", "lu"))
-            row = np.concatenate([np.arange(len(rid)), np.flatnonzero(fu != lu)])
-            anchor = np.concatenate([fu, lu[fu != lu]]).astype(U)
-            key = text.mix(key[row] + anchor[:, None] * _MUL[5] + np.arange(BANDS).astype(U) * _MUL[6])
-            yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).astype(np.int64)), pa.array(np.repeat(rid[row], BANDS))], ["key", "rid"])
+            anchors = np.frombuffer(b"".join(batch.column("anchors").to_pylist()), dtype=U).reshape(-1, ANCHORS)
+            key = text.mix(key[:, None, :] + anchors[:, :, None] * _MUL[5] + np.arange(BANDS).astype(U) * _MUL[6])
+            yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).astype(np.int64)), pa.array(np.repeat(batch.column("rid").to_numpy(), ANCHORS * BANDS))], ["key", "rid"])
 
 
 def repeats(docs: DataFrame, least: int = WORDS, percent: int = PERCENT, paragraph: int = PARAGRAPH) -> DataFrame:
@@ -200,18 +207,18 @@ def repeats(docs: DataFrame, least: int = WORDS, percent: int = PERCENT, paragra
     """
     ship(docs.sparkSession)
     base = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    # Texts are read once for their sentences; what is joined and dealt from here on is a few bytes a sentence.
-    lists = cut(base.mapInArrow(text.tidied(_sentence_lists(paragraph)), "doc_id long, hs binary, ns binary"))
-    rows = lists.mapInArrow(text.tidied(_sentence_rows), "h long, doc_id long, s int")
-    shared = cut(rows.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h"))
-    # A document's own sentences are gathered, as many as its text has.
-    marks = rows.join(shared, "h").groupBy("doc_id").agg(F.collect_list("s").alias("marks"))
-    found = cut(lists.join(marks, "doc_id").select("doc_id", "hs", "ns", "marks").mapInArrow(text.tidied(_paragraphs(paragraph)), "wid long, fu long, lu long, doc_id long, b long, e long"))
+    # They are computed twice rather than written; most of them are of one document.
+    seeds = base.mapInArrow(text.tidied(_seeds(min(least, paragraph))), "wid long, doc_id long")
+    shared = cut(seeds.groupBy("wid").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("wid"))
+    # A document's own seeds are gathered, as many as its text has.
+    marks = seeds.join(shared, "wid").groupBy("doc_id").agg(F.collect_set("wid").alias("marks"))
+    candidates = cut(base.join(marks, "doc_id").select("doc_id", "text", "marks").mapInArrow(text.tidied(_candidates(least, paragraph)), "kind int, wid long, anchors binary, doc_id long, b long, e long"))
+    found = candidates.where("kind = 1").drop("kind")
     # Equal paragraphs: one row each, with a document that holds it.
-    kinds = cut(found.groupBy("wid").agg(F.first("fu").alias("fu"), F.first("lu").alias("lu"), F.min(F.struct("doc_id", "b", "e")).alias("at"), F.max("doc_id").alias("hi")))
+    kinds = cut(found.groupBy("wid").agg(F.min("anchors").alias("anchors"), F.min(F.struct("doc_id", "b", "e")).alias("at"), F.max("doc_id").alias("hi")))
     holders = kinds.groupBy(F.col("at.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("wid", F.col("at.b").alias("b"), F.col("at.e").alias("e"))).alias("spans"))
     signed = cut(base.join(holders, "doc_id").select("text", "spans").mapInArrow(text.tidied(_signed), "rid long, sig binary, shs binary"))
-    keys = signed.select("rid", "sig").join(kinds.select(F.col("wid").alias("rid"), "fu", "lu"), "rid").mapInArrow(text.tidied(_bands), "key long, rid long")
+    keys = signed.select("rid", "sig").join(kinds.select(F.col("wid").alias("rid"), "anchors"), "rid").mapInArrow(text.tidied(_bands), "key long, rid long")
     labels = linked(keys, signed.select("rid", "sig"), lambda used: signed.select("rid", "shs").join(used, "rid"), RADIUS, percent)
     named = kinds.join(labels.select(F.col("node").alias("wid"), "label"), "wid", "left").select("wid", F.coalesce("label", "wid").alias("cluster_id"), F.col("at.doc_id").alias("lo"), "hi")
     named = cut(named)
@@ -219,10 +226,9 @@ def repeats(docs: DataFrame, least: int = WORDS, percent: int = PERCENT, paragra
     of = named.select("wid", "cluster_id").join(whole.select("cluster_id", "keep_doc_id"), "cluster_id")
     spans = found.join(cut(of), "wid").select("doc_id", "b", "e", "cluster_id", "keep_doc_id", (F.col("doc_id") != F.col("keep_doc_id")).alias("removed"))
     # Equal runs of words, whatever the sentences around them.
-    # They are computed twice rather than written; most of them are of one document.
-    windows = base.mapInArrow(text.tidied(_windows(least)), "wid long, doc_id long, b int")
-    equal = cut(windows.groupBy("wid").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("wid", "lo"))
-    spans = spans.unionByName(windows.join(equal, "wid").select("doc_id", F.col("b").cast("long").alias("b"), (F.col("b") + least).cast("long").alias("e"), F.col("wid").alias("cluster_id"), F.col("lo").alias("keep_doc_id"), (F.col("doc_id") != F.col("lo")).alias("removed")))
+    windows = candidates.where("kind = 0").select("wid", "doc_id", "b", "e")
+    equal = windows.groupBy("wid").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("wid", "lo")
+    spans = spans.unionByName(windows.join(equal, "wid").select("doc_id", "b", "e", F.col("wid").alias("cluster_id"), F.col("lo").alias("keep_doc_id"), (F.col("doc_id") != F.col("lo")).alias("removed")))
     order = Window.partitionBy("doc_id", "keep_doc_id").orderBy("b", "e")
     island = F.sum((F.col("b") > F.coalesce(F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))).cast("int")).over(order)
     out = spans.withColumn("island", island).groupBy("doc_id", "keep_doc_id", "removed", "island")

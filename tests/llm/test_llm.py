@@ -643,3 +643,30 @@ def test_html_names_of_state_keep_the_article():
         assert html_extract.main_texts([html_extract.blocks(opening + "<p>the text</p>")]) == ["the text"], opening
     for name in ("ad", "cookie-notice", "site-footer", "box ad1", "comment-list open"):
         assert html_extract.main_texts([html_extract.blocks(f'<body><div class="{name}">not this</div><p>the text</p>')]) == ["the text"], name
+
+
+def test_passages_edited_where_no_sentence_is_shared(spark):
+    """Every sentence of a passage changed: one long sentence, both ends of each paragraph, and text without sentence marks.
+
+    All pairs of paragraphs of different documents are compared by brute force; each similar pair must be found.
+    """
+    rng = random.Random(56)
+    some = lambda n: ["".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(3, 8))) for _ in range(n)]
+    rows = []
+    for k in range(40):
+        passage = [*some(59), "end."]
+        edited = ["edited" if i in ([20 + k], [0, 58], [1, 59], [30 + k])[k % 4] else w for i, w in enumerate(passage)]
+        if k % 4 == 3:  # without sentence marks; two words are put in, none is replaced
+            passage = [*some(80), "end"]
+            edited = [*passage[: 20 + k], "put", "in", *passage[20 + k :]]
+        for d, body in ((k, passage), (100 + k, edited)):
+            rows.append((d, "\n".join(" ".join(x) for x in ([*some(20), "a."], body, [*some(20), "b."])), "en", "s", 0))
+    paragraphs = {}
+    for d, body, *_ in rows:
+        _, _, cuts, _, _ = passage_dedup.sentences(pa.array([body]))
+        ends = [(b, next((e for e in cuts if e >= b + 50), None)) for b in cuts[:-1]]
+        paragraphs[d] = [shingle_set(" ".join(body.split()[b:e])) for b, e in ends if e is not None]
+    want = {(100 + k, k) for k in range(40) if any(len(a & b) >= 0.8 * len(a | b) for a in paragraphs[k] for b in paragraphs[100 + k])}
+    got = passage_dedup.repeats(docs(spark, rows)).collect()
+    assert len(want) >= 30 and {(r.doc_id, r.keep_doc_id) for r in got if r.removed} >= want
+    assert all(r.keep_doc_id == r.doc_id % 100 for r in got)
