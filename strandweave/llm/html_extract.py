@@ -11,12 +11,16 @@ open:
   says so: adverts, menus, notices, comments, ...) are dropped, wherever they stand. A name of several parts says so by
   its last part (site-footer), or by its first one where the others say nothing (comment-list, ad1; not comment-policy),
   and not after a word of state (has-sidebar); html, body, main and article are never dropped by names.
-- On a page with an article or main element, blocks inside it are kept, whether they repeat or not.
+- On a page with an article or main element, blocks inside it are kept, unless repetition says that the host puts them
+  into its articles: at least COVERED of their tokens lie in runs of RUN tokens or more that occur in the articles of
+  more than half of the host's pages that have one, and in OFTEN different ones at least. An article that would lose half of its tokens or more is a copy of
+  others, not a frame, and stays whole; so do passages that a few articles share.
 - Every other block is open: it is kept unless at least COVERED of its tokens lie in runs of RUN tokens or more that
   occur outside the articles of two pages of the host or more.
 
 A host of more than GROUP pages or GROUP_BYTES is dealt over parts, so that one host with a third of all pages is many
-tasks. Each part has a suffix array; runs that occur once in each of several parts meet in an aggregation of run hashes,
+tasks. Runs in more than half of a host's articles are in more than half of those of some chunk of its pages; these
+few are then counted over all of its pages. Each part has a suffix array; runs that occur once in each of several parts meet in an aggregation of run hashes,
 for the hosts that have open blocks, so the result is that of one array over the whole host whatever its size.
 
 A null or empty page, and one without text, has the empty text. Markup that is not closed ends with the page; a quote
@@ -40,6 +44,8 @@ from strandweave.llm import text
 from strandweave.session import cut, ship
 
 RUN, COVERED, GROUP, GROUP_BYTES = 6, 0.8, 256, 16_000_000
+#: Least articles that hold a run of the host's own; articles of a large host that are looked at together.
+OFTEN, CHUNK = 4, 64
 #: A join side of at most this many hosts is broadcast.
 MOST_HOSTS = 100_000
 
@@ -157,8 +163,10 @@ def blocks(page: str) -> list[tuple[str, bool, bool]]:
     return out
 
 
-def repeated(streams: list[np.ndarray], run: int = RUN) -> list[np.ndarray]:
-    """For each page's token hashes: which tokens lie in runs of `run` tokens or more that occur on another page too.
+def repeated(streams: list[np.ndarray], run: int = RUN, least: int = 2, kinds: np.ndarray | None = None) -> list[np.ndarray]:
+    """For each page's token hashes: which tokens lie in runs of `run` tokens or more that occur on `least` pages or more.
+
+    With `kinds`, a number a page, the pages must be of OFTEN kinds, too.
 
     The suffix array of the concatenated streams is built by prefix doubling until suffixes are ordered by their first
     `run` tokens; suffixes that agree so far stand together, and their pages are compared. Longer runs are unions of these.
@@ -184,8 +192,18 @@ def repeated(streams: list[np.ndarray], run: int = RUN) -> list[np.ndarray]:
         full = np.flatnonzero(rest >= run)
         suffixes = full[np.argsort(rank[full], kind="stable")]
         groups = np.concatenate([[0], np.flatnonzero(np.diff(rank[suffixes])) + 1])
-        low, high = np.minimum.reduceat(page[suffixes], groups), np.maximum.reduceat(page[suffixes], groups)
-        shared = np.repeat(low < high, np.diff(np.concatenate([groups, [len(suffixes)]])))
+        of = page[suffixes]  # in page order inside a group, as suffixes are sorted stably
+        fresh = np.concatenate([[True], of[1:] != of[:-1]])
+        fresh[groups] = True
+        sizes_of = np.diff(np.concatenate([groups, [len(suffixes)]]))
+        enough = np.add.reduceat(fresh.astype(np.int64), groups) >= least
+        if kinds is not None:
+            group = np.repeat(np.arange(len(groups)), sizes_of)
+            of = kinds[of][np.lexsort((kinds[of], group))]
+            fresh = np.concatenate([[True], of[1:] != of[:-1]])
+            fresh[groups] = True
+            enough &= np.add.reduceat(fresh.astype(np.int64), groups) >= OFTEN
+        shared = np.repeat(enough, sizes_of)
         step_up = np.zeros(total + 1, dtype=np.int64)
         np.add.at(step_up, suffixes[shared], 1)
         np.add.at(step_up, np.minimum(suffixes[shared] + run, total), -1)
@@ -212,54 +230,144 @@ def run_hashes(stream: np.ndarray, run: int = RUN) -> np.ndarray:
     return text.runs(stream, at, at + run)
 
 
-def main_texts(pages: list[Page], elsewhere: np.ndarray | None = None) -> list[str]:
-    """The main text of each page of one part of a host, from its blocks; `elsewhere` are runs that other parts hold, too."""
+def articles_of(pages: list[Page]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Of each page: hashes of the tokens of its article, and the bounds of its blocks in them."""
+    bodies = pa.array([b if inside and not dropped else "" for page in pages for b, inside, dropped in page], pa.large_string())
+    hashes, bounds = text.word_hashes(bodies)
+    firsts = np.concatenate([[0], np.cumsum([len(p) for p in pages])]).astype(np.int64)
+    own = [bounds[firsts[i] : firsts[i + 1] + 1] for i in range(len(pages))]
+    return [hashes[x[0] : x[-1]] for x in own], [x - x[0] for x in own]
+
+
+def article_id(stream: np.ndarray) -> int:
+    """A hash of an article."""
+    return int(text.runs(stream, np.array([0]), np.array([len(stream)])).astype(np.int64)[0])
+
+
+def framed(pages: list[Page], often: np.ndarray | None = None) -> list[np.ndarray]:
+    """Of each page: which blocks of its article the host puts into its articles.
+
+    `often` are the runs in more than half of the articles of a host of several parts; without it pages are the whole host.
+    """
+    streams, bounds = articles_of(pages)
+    if often is None:
+        full = [i for i, x in enumerate(streams) if len(x)]
+        covered = [np.zeros(len(x), dtype=bool) for x in streams]
+        if len(full) >= OFTEN:
+            kinds = np.array([article_id(streams[i]) for i in full])
+            for i, found in zip(full, repeated([streams[i] for i in full], least=len(full) // 2 + 1, kinds=kinds), strict=True):
+                covered[i] = found
+    else:
+        covered = [_covered(x, often) for x in streams]
+    out = []
+    for mark, own in zip(covered, bounds, strict=True):
+        sums, size = np.concatenate([[0], np.cumsum(mark)]), np.diff(own)
+        frame = (size > 0) & (sums[own[1:]] - sums[own[:-1]] >= COVERED * size)
+        out.append(frame & (2 * size[frame].sum() < size.sum()))
+    return out
+
+
+def _covered(stream: np.ndarray, runs: np.ndarray) -> np.ndarray:
+    """Which tokens lie in one of the runs."""
+    step = np.zeros(len(stream) + 1, dtype=np.int64)
+    if len(runs) and len(stream) >= RUN:
+        at = np.flatnonzero(np.isin(run_hashes(stream), runs))
+        np.add.at(step, at, 1)
+        np.add.at(step, at + RUN, -1)
+    return np.cumsum(step[:-1]) > 0
+
+
+def main_texts(pages: list[Page], elsewhere: np.ndarray | None = None, often: np.ndarray | None = None) -> list[str]:
+    """The main text of each page of one part of a host, from its blocks.
+
+    `elsewhere` are runs that other parts hold, too; `often` those in more than half of the articles of all parts.
+    """
     streams, bounds, article = streams_of(pages)
     out = []
-    for page, covered, stream, own, has in zip(pages, repeated(streams), streams, bounds, article, strict=True):
-        if elsewhere is not None and len(elsewhere) and len(stream) >= RUN:
-            step = np.zeros(len(stream) + 1, dtype=np.int64)
-            at = np.flatnonzero(np.isin(run_hashes(stream), elsewhere))
-            np.add.at(step, at, 1)
-            np.add.at(step, at + RUN, -1)
-            covered = covered | (np.cumsum(step[:-1]) > 0)
+    for page, covered, stream, own, has, frame in zip(pages, repeated(streams), streams, bounds, article, framed(pages, often), strict=True):
+        if elsewhere is not None:
+            covered = covered | _covered(stream, elsewhere)
         sums = np.concatenate([[0], np.cumsum(covered)])
         kept = []
         for k, (body, inside, dropped) in enumerate(page):
             boilerplate = own[k + 1] > own[k] and sums[own[k + 1]] - sums[own[k]] >= COVERED * (own[k + 1] - own[k])
-            if not dropped and (inside if has else not boilerplate):
+            if not dropped and ((inside and not frame[k]) if has else not boilerplate):
                 kept.append(body)
         out.append("\n".join(kept))
     return out
 
 
-NAMES = ["host", "part", "h", "page_id", "url", "html"]
+NAMES = ["host", "part", "h", "often", "page_id", "url", "html"]
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, np.ndarray, np.ndarray | None, list[tuple]]]:
+    """((host, part), runs of other parts, runs of most articles, [(page_id, url, html)]) of rows sorted by host and part.
+
+    The `often` of a page says that its host has several parts; that of a run, which of the two kinds it is.
+    """
 
+    def made() -> tuple:
+        elsewhere, often = (np.array(x, dtype=np.int64).astype(text.U) for x in marks)
+        return key, elsewhere, often if several else None, group
 
-def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, np.ndarray, list[tuple]]]:
-    """((host, part), runs of other parts, [(page_id, url, html)]) of rows sorted by host and part."""
-    key, marks, group = None, [], []
+    key, marks, group, several = None, ([], []), [], False
     for batch in batches:
-        for host, part, h, *row in zip(*[batch.column(c).to_pylist() for c in NAMES], strict=True):
+        for host, part, h, often, *row in zip(*[batch.column(c).to_pylist() for c in NAMES], strict=True):
             if key != (host, part):
                 if group:
-                    yield key, np.array(marks, dtype=np.int64).astype(text.U), group
-                key, marks, group = (host, part), [], []
+                    yield made()
+                key, marks, group, several = (host, part), ([], []), [], False
             if h is None:
                 group.append(row)
+                several = often
             else:
-                marks.append(h)
+                marks[bool(often)].append(h)
     if group:
-        yield key, np.array(marks, dtype=np.int64).astype(text.U), group
+        yield made()
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of NAMES in groups of (host, part) to (page_id, url, text, n_chars)."""
-    for _, marks, group in _grouped(batches):
-        bodies = main_texts([blocks(g[2] or "") for g in group], marks)
+    for _, elsewhere, often, group in _grouped(batches):
+        bodies = main_texts([blocks(g[2] or "") for g in group], elsewhere, often)
         yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in group], pa.int64()), pa.array([g[1] for g in group], pa.string()), pa.array(bodies, pa.string()), pa.array([len(b) for b in bodies], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
+def _articles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, html) to (host, n, h): of chunks of a host's articles their number, and the runs in more than half of them."""
+    held: dict[str, list[np.ndarray]] = {}
+
+    def most(host: str) -> pa.RecordBatch:
+        streams = held.pop(host)
+        runs, times = np.unique(np.concatenate([np.unique(run_hashes(x)) for x in streams]), return_counts=True)
+        runs = runs[2 * times > len(streams)].astype(np.int64).tolist()
+        return pa.RecordBatch.from_arrays([pa.array([host] * (1 + len(runs)), pa.string()), pa.array([len(streams)] + [None] * len(runs), pa.int64()), pa.array([None, *runs], pa.int64())], ["host", "n", "h"])
+
+    for batch in batches:
+        streams, _ = articles_of([blocks(body or "") for body in batch.column("html").to_pylist()])
+        for host, stream in zip(batch.column("host").to_pylist(), streams, strict=True):
+            if len(stream):
+                held.setdefault(host, []).append(stream)
+                if len(held[host]) == CHUNK:
+                    yield most(host)
+        if sum(len(x) for x in held.values()) > 4096:  # many hosts, few pages of each
+            yield from [most(host) for host in list(held)]
+    yield from [most(host) for host in list(held)]
+
+
+def _holding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, html, runs) to (host, article, h): which of the runs each article holds."""
+    for batch in batches:
+        streams, _ = articles_of([blocks(body or "") for body in batch.column("html").to_pylist()])
+        out: list[tuple] = []
+        for host, stream, runs in zip(batch.column("host").to_pylist(), streams, batch.column("runs").to_pylist(), strict=True):
+            if len(stream):
+                own = article_id(stream)
+                out += [(host, own, h) for h in np.intersect1d(run_hashes(stream).astype(np.int64), runs).tolist()]
+        columns = zip(*out, strict=True) if out else ([], [], [])
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64()), strict=True)], ["host", "article", "h"])
+
+
 def _is_open(page: Page) -> bool:
     return any(not dropped for _, _, dropped in page) and not any(inside and not dropped for _, inside, dropped in page)
 
@@ -273,7 +381,7 @@ def _open_hosts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Groups of (host, part) to (host, part, h, open): each run outside articles once, and whether an open block holds it."""
-    for (host, part), _, group in _grouped(batches):
+    for (host, part), _, _, group in _grouped(batches):
         pages = [blocks(g[2] or "") for g in group]
         streams, _, article = streams_of(pages)
         runs = [run_hashes(s) for s in streams]
@@ -297,7 +405,7 @@ def extract(pages: DataFrame) -> DataFrame:
     if n_large <= MOST_HOSTS:
         large = F.broadcast(large)
     parted = rows.join(large, "host", "left").withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("parts", F.lit(1))).cast("int"))
-    parted = parted.select("host", "part", F.lit(None).cast("long").alias("h"), "page_id", "url", "html", "parts")
+    parted = parted.select("host", "part", F.lit(None).cast("long").alias("h"), (F.coalesce("parts", F.lit(1)) > 1).alias("often"), "page_id", "url", "html", "parts")
     whole = parted.drop("parts")
     if n_large:
         of_large = parted.where("parts > 1").drop("parts")
@@ -306,8 +414,18 @@ def extract(pages: DataFrame) -> DataFrame:
             runs = cut(_sorted(of_large.join(with_open, "host", "left_semi")).mapInArrow(text.tidied(_runs), "host string, part int, h long, open boolean"))
             # A run is a row a part at most, so a run on every page of a large host is one row a part.
             both = runs.groupBy("host", "h").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.max("open").alias("open")).where("lo < hi and open").select("host", "h")
-            marks = runs.where("open").join(both, ["host", "h"]).select("host", "part", "h")
+            marks = runs.where("open").join(both, ["host", "h"]).select("host", "part", "h", F.lit(False).alias("often"))
             whole = whole.unionByName(marks, allowMissingColumns=True)
+        # Runs in most articles of a host: those of most articles of a chunk are counted over all articles.
+        chunks = cut(of_large.select("host", "html").mapInArrow(text.tidied(_articles), "host string, n long, h long"))
+        some = cut(chunks.where("h is not null").groupBy("host").agg(F.collect_set("h").alias("runs")))
+        if not some.isEmpty():
+            n = chunks.where("n is not null").groupBy("host").agg(F.sum("n").alias("n"))
+            held = of_large.select("host", "html").join(some, "host").mapInArrow(text.tidied(_holding), "host string, article long, h long")
+            times = held.groupBy("host", "h", "article").agg(F.count("*").alias("k")).groupBy("host", "h").agg(F.count("*").alias("kinds"), F.sum("k").alias("times")).join(n, "host")
+            often = times.where((F.col("kinds") >= OFTEN) & (2 * F.col("times") > F.col("n"))).select("host", "h")
+            marks = often.join(large, "host").select("host", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "h", F.lit(True).alias("often"))
+            whole = whole.unionByName(cut(marks), allowMissingColumns=True)
     return _sorted(whole).mapInArrow(text.tidied(_extract), "page_id long, url string, text string, n_chars long")
 
 

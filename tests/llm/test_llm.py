@@ -543,6 +543,24 @@ def test_html_repetition_does_not_depend_on_parts(spark, monkeypatch):
         assert {r.page_id: r.text for r in html_extract.extract(pages).collect()} == want
 
 
+def test_html_repetition_decides_inside_articles(spark, monkeypatch):
+    """What a host puts into most of its articles goes; what a few articles share, and copies of an article, stay."""
+    rng = random.Random(32)
+    say = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 8))) for _ in range(n))
+    frame, passage, copied, rows, want = say(12), say(30), say(60), [], {}
+    for host, n in (("h", 30), ("few", 3), ("copies", 12)):
+        for i in range(n):
+            own = copied if host == "copies" else say(40)
+            shared = [passage] if host == "h" and i < 9 else []
+            noted = [frame] if host == "few" or host == "h" and i % 5 else []
+            rows.append((len(rows), f"http://{host}.org/{i}", "<article>" + "".join(f"<p>{x}</p>" for x in [own, *noted, *shared]) + "</article>"))
+            want[rows[-1][0]] = "\n".join([own, *([] if host == "h" else noted), *shared])
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for group in (256, 7):
+        monkeypatch.setattr(html_extract, "GROUP", group)
+        assert {r.page_id: r.text for r in html_extract.extract(pages).collect()} == want
+
+
 def test_passages(spark):
     rng = random.Random(6)
     sentence = lambda: (" ".join("".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(2, 8))) for _ in range(11)) + ".").capitalize()
