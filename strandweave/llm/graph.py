@@ -34,26 +34,28 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, label): the smallest node that can be reached, for every node of edges (a, b).
 
     Each round gives every label its smallest neighbour as parent, follows parents one step further, and renames the
-    edges; the graph of labels shrinks at least by half. Tables are checkpointed, nothing but a count comes to the driver.
-    Once LOCAL links or fewer are left, they are joined in one task.
+    edges; the graph of labels shrinks at least by half. What a round renames is kept as it is, and followed to the end
+    once, from the last round back: all rounds together join rows in proportion to the nodes, not to nodes and rounds.
+    Tables are checkpointed, nothing but a count comes to the driver. Once LOCAL links or fewer are left, they are joined
+    in one task.
     """
     links = cut(edges.select("a", "b").where("a <> b").distinct())
-    if links.limit(LOCAL + 1).count() <= LOCAL:
-        return cut(links.repartition(1).mapInArrow(joined, "node long, label long"))
-    ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
-    labels = ends.withColumn("label", F.col("node"))
+    steps: list[DataFrame] = []
     for _ in range(rounds):
-        if links.isEmpty():
+        if links.limit(LOCAL + 1).count() <= LOCAL:
             break
         both = links.union(links.select("b", "a"))
         parent = both.groupBy(F.col("a").alias("p_of")).agg(F.min("b").alias("p")).select("p_of", F.least("p_of", "p").alias("p"))
         parent = cut(parent)
         jumped = cut(parent.join(parent.select(F.col("p_of").alias("q_of"), F.col("p").alias("q")), F.col("p") == F.col("q_of"), "left").select("p_of", F.coalesce("q", "p").alias("p")))
-        labels = cut(labels.join(jumped, F.col("label") == F.col("p_of"), "left").select("node", F.coalesce("p", "label").alias("label")))
+        steps.append(jumped.select(F.col("p_of").alias("node"), F.col("p").alias("label")))
         to_a, to_b = jumped.select(F.col("p_of").alias("a"), F.col("p").alias("la")), jumped.select(F.col("p_of").alias("b"), F.col("p").alias("lb"))
         links = cut(links.join(to_a, "a").join(to_b, "b").where("la <> lb").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct())
     else:
         raise RuntimeError("connected components did not converge")
+    labels = cut(links.repartition(1).mapInArrow(joined, "node long, label long"))
+    for step in reversed(steps):
+        labels = cut(step.join(labels.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left").select("node", F.coalesce("top", "label").alias("label")))
     return labels
 
 

@@ -14,13 +14,14 @@ one that has PARAGRAPH words or more.
    sentences: in 50 words at a similarity of 0.8 one word can be changed, and 24 equal words stand before or after it.
    Equal runs are looked for only where all seeds of a run occur in two documents, as those of a repeated run do.
 2. Equal paragraphs are collapsed. Different ones are joined on bands of MinHash symbols and an anchor: BANDS bands of
-   ROWS symbols, a recall of 1 - (1 - 0.8**2)**8 = 0.9997 at a similarity of 0.8 of pairs with a common anchor. Anchors
+   ROWS symbol, a recall of 1 - (1 - 0.8)**5 = 0.9997 at a similarity of 0.8 of pairs with a common anchor. Anchors
    are the first and the last 24 words, and the smallest run of 10 words that leaves out 5 at either end, with its place
    from the begin and with that from the end. They keep overlapping paragraphs of one text apart, which would chain a
    whole text to what one part of it repeats. Pairs with changes in one place share the first or last words, pairs
-   changed at both ends the inner run, as long as its place from one end is the same. What can be missed is a pair with
-   words put in or left out on both sides of all that is equal, or with changes in the first words, the last ones and
-   the inner run at once (paragraphs of 90 words and more have room for that).
+   changed at both ends the inner run, as long as its place from one end is the same. What can be missed is a pair that
+   does not begin and end alike: one begins with a short sentence that the other lacks and ends before its last one
+   (mostly the paragraphs from the next sentence on are a pair then), or words are put in on both sides of all that is
+   equal; or a pair with changes in the first words, the last ones and the inner run at once (in 90 words or more).
 3. Colliding paragraphs are confirmed by the exact Jaccard similarity of their five-word shingles, and clustered by
    connected components. A cluster's paragraph in its smallest document stays, those in other documents are removed;
    overlapping spans with the same verdict are reported as one.
@@ -53,7 +54,7 @@ LONG = 48
 SEED, SPAN = 10, 24
 #: Words at either end of a paragraph that the inner seed leaves out; bits for a seed's place in its text.
 EDGE, PLACE = 5, U(28)
-ANCHORS, BANDS, ROWS = 4, 8, 2
+BANDS, ROWS = 5, 1
 SYMBOLS = 24
 #: Differing symbols of a pair to confirm; a pair of similarity 0.8 has 4.8 of 24 on average.
 RADIUS = 14
@@ -142,7 +143,7 @@ def _candidates(least: int, paragraph: int) -> Callable:
                         hashes, inside = text.runs(own, at, at + least), max(least - SPAN + 1, 0)
                         b = winnowed(hashes)
                         b = b[shared[b + inside] - shared[b] == inside]
-                        out.append((0, hashes[b], np.zeros((len(b), ANCHORS), U), doc_id, b, b + least))
+                        out.append((0, hashes[b], np.zeros((len(b), 0), U), doc_id, b, b + least))
                     starts = cuts[sb[i] : sb[i + 1] + 1] - bounds[i]
                     end = np.searchsorted(starts, starts[:-1] + paragraph)  # the first sentence bound with enough words
                     b, e = starts[:-1][end < len(starts)], starts[end[end < len(starts)]]
@@ -153,13 +154,19 @@ def _candidates(least: int, paragraph: int) -> Callable:
                 if out:
                     kind, docs = (np.repeat(np.array([x[k] for x in out], dtype=np.int64), [len(x[1]) for x in out]) for k in (0, 3))
                     wid, b, e = (np.concatenate([x[k] for x in out]).astype(np.int64) for k in (1, 4, 5))
-                    yield pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int32)), pa.array(wid), text.binary(np.concatenate([x[2] for x in out])), pa.array(docs), pa.array(b), pa.array(e)], ["kind", "wid", "anchors", "doc_id", "b", "e"])
+                    yield pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int32)), pa.array(wid), _lists([x[2] for x in out]), pa.array(docs), pa.array(b), pa.array(e)], ["kind", "wid", "anchors", "doc_id", "b", "e"])
 
     return run
 
 
+def _lists(rows: list[np.ndarray]) -> pa.Array:
+    """The rows of the arrays as lists of long."""
+    sizes = np.concatenate([np.full(len(x), x.shape[1]) for x in rows])
+    return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), pa.array(np.concatenate([x.reshape(-1) for x in rows]).astype(np.int64)))
+
+
 def _anchors(words: np.ndarray, tens: np.ndarray, b: np.ndarray, e: np.ndarray) -> np.ndarray:
-    """The ANCHORS of the paragraphs (b, e), a row each: first SPAN words, last SPAN words, the inner seed by its place from either end."""
+    """The four anchors of the paragraphs (b, e), a row each: first SPAN words, last SPAN words, the inner seed by its place from either end."""
     place = np.arange(len(tens), dtype=np.int64).astype(U)
     packed = np.append((tens >> PLACE << PLACE) | place, U(0))
     inner = np.minimum.reduceat(packed, np.stack([b + EDGE, e - EDGE - SEED + 1], axis=1).reshape(-1))[::2]
@@ -187,7 +194,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rid, anchors, sig) to (key, rid): the bands under each anchor."""
+    """(rid, anchor, sig) to (key, rid): the bands under the anchor."""
     for batch in batches:
         if batch.num_rows:
             sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), dtype=np.uint16).reshape(-1, SYMBOLS)[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS).astype(U)
@@ -195,9 +202,9 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for r in range(ROWS):
                 key = (key + sig[:, :, r] + U(1)) * _MUL[r]
                 key ^= key >> U(30)
-            anchors = np.frombuffer(b"".join(batch.column("anchors").to_pylist()), dtype=U).reshape(-1, ANCHORS)
-            key = text.mix(key[:, None, :] + anchors[:, :, None] * _MUL[5] + np.arange(BANDS).astype(U) * _MUL[6])
-            yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).astype(np.int64)), pa.array(np.repeat(batch.column("rid").to_numpy(), ANCHORS * BANDS))], ["key", "rid"])
+            anchor = batch.column("anchor").to_numpy().astype(U)
+            key = text.mix(key + anchor[:, None] * _MUL[5] + np.arange(BANDS).astype(U) * _MUL[6])
+            yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).astype(np.int64)), pa.array(np.repeat(batch.column("rid").to_numpy(), BANDS))], ["key", "rid"])
 
 
 def repeats(docs: DataFrame, least: int = WORDS, percent: int = PERCENT, paragraph: int = PARAGRAPH) -> DataFrame:
@@ -212,13 +219,18 @@ def repeats(docs: DataFrame, least: int = WORDS, percent: int = PERCENT, paragra
     shared = cut(seeds.groupBy("wid").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("wid"))
     # A document's own seeds are gathered, as many as its text has.
     marks = seeds.join(shared, "wid").groupBy("doc_id").agg(F.collect_set("wid").alias("marks"))
-    candidates = cut(base.join(marks, "doc_id").select("doc_id", "text", "marks").mapInArrow(text.tidied(_candidates(least, paragraph)), "kind int, wid long, anchors binary, doc_id long, b long, e long"))
+    candidates = cut(base.join(marks, "doc_id").select("doc_id", "text", "marks").mapInArrow(text.tidied(_candidates(least, paragraph)), "kind int, wid long, anchors array<long>, doc_id long, b long, e long"))
     found = candidates.where("kind = 1").drop("kind")
     # Equal paragraphs: one row each, with a document that holds it.
     kinds = cut(found.groupBy("wid").agg(F.min("anchors").alias("anchors"), F.min(F.struct("doc_id", "b", "e")).alias("at"), F.max("doc_id").alias("hi")))
-    holders = kinds.groupBy(F.col("at.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("wid", F.col("at.b").alias("b"), F.col("at.e").alias("e"))).alias("spans"))
+    # Most paragraphs have no anchor in common with one of another document; only the others are signed.
+    anchored = kinds.select(F.col("wid").alias("rid"), F.col("at.doc_id").alias("lo"), "hi", F.explode("anchors").alias("anchor"))
+    both = anchored.groupBy("anchor").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("rid").alias("low"), F.max("rid").alias("high")).where("lo < hi and low < high")
+    used = cut(anchored.join(both.select("anchor"), "anchor").select("rid", "anchor"))
+    open_kinds = kinds.join(used.select(F.col("rid").alias("wid")).distinct(), "wid", "left_semi")
+    holders = open_kinds.groupBy(F.col("at.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("wid", F.col("at.b").alias("b"), F.col("at.e").alias("e"))).alias("spans"))
     signed = cut(base.join(holders, "doc_id").select("text", "spans").mapInArrow(text.tidied(_signed), "rid long, sig binary, shs binary"))
-    keys = signed.select("rid", "sig").join(kinds.select(F.col("wid").alias("rid"), "anchors"), "rid").mapInArrow(text.tidied(_bands), "key long, rid long")
+    keys = signed.select("rid", "sig").join(used, "rid").mapInArrow(text.tidied(_bands), "key long, rid long")
     labels = linked(keys, signed.select("rid", "sig"), lambda used: signed.select("rid", "shs").join(used, "rid"), RADIUS, percent)
     named = kinds.join(labels.select(F.col("node").alias("wid"), "label"), "wid", "left").select("wid", F.coalesce("label", "wid").alias("cluster_id"), F.col("at.doc_id").alias("lo"), "hi")
     named = cut(named)

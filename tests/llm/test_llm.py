@@ -151,6 +151,17 @@ def test_components(spark, monkeypatch, local):
     assert graph.components(table([])).count() == 0
 
 
+def test_components_rename_the_nodes_once_not_in_each_round(spark, monkeypatch):
+    """Of the tables written, three have a row a node (parents, their parents, labels), however many rounds there are."""
+    monkeypatch.setattr(graph, "LOCAL", 0)
+    written, plain, n = [], graph.cut, 200
+    monkeypatch.setattr(graph, "cut", lambda df: (lambda out: (written.append(out.count()), out)[1])(plain(df)))
+    at = random.Random(5).sample(range(n), n)
+    links = spark.createDataFrame(list(zip(at, at[1:], strict=False)), "a long, b long")
+    assert {(r.node, r.label) for r in graph.components(links).collect()} == {(i, 0) for i in range(n)}
+    assert sum(x >= n for x in written) == 3, written
+
+
 @pytest.mark.parametrize("chained", [False, True])
 def test_large_components_equal_brute_force(spark, monkeypatch, chained):
     monkeypatch.setattr(near_dedup, "SETS", 16)
