@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandweave.session import cut
+from strandweave.session import cut, free
 
 SALTS = 64
 #: As many links (16 bytes each) are joined in one task of an executor; more are joined in rounds over all tasks.
@@ -48,14 +48,19 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         parent = both.groupBy(F.col("a").alias("p_of")).agg(F.min("b").alias("p")).select("p_of", F.least("p_of", "p").alias("p"))
         parent = cut(parent)
         jumped = cut(parent.join(parent.select(F.col("p_of").alias("q_of"), F.col("p").alias("q")), F.col("p") == F.col("q_of"), "left").select("p_of", F.coalesce("q", "p").alias("p")))
-        steps.append(jumped.select(F.col("p_of").alias("node"), F.col("p").alias("label")))
+        free(parent)
+        steps.append(jumped)
         to_a, to_b = jumped.select(F.col("p_of").alias("a"), F.col("p").alias("la")), jumped.select(F.col("p_of").alias("b"), F.col("p").alias("lb"))
-        links = cut(links.join(to_a, "a").join(to_b, "b").where("la <> lb").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct())
+        old, links = links, cut(links.join(to_a, "a").join(to_b, "b").where("la <> lb").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct())
+        free(old)
     else:
         raise RuntimeError("connected components did not converge")
     labels = cut(links.repartition(1).mapInArrow(joined, "node long, label long"))
-    for step in reversed(steps):
-        labels = cut(step.join(labels.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left").select("node", F.coalesce("top", "label").alias("label")))
+    free(links)
+    for jumped in reversed(steps):
+        step = jumped.select(F.col("p_of").alias("node"), F.col("p").alias("label"))
+        old, labels = labels, cut(step.join(labels.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left").select("node", F.coalesce("top", "label").alias("label")))
+        free(old, jumped)
     return labels
 
 
@@ -87,6 +92,9 @@ def extended(labels: DataFrame, links: DataFrame) -> DataFrame:
     """
     of = lambda end: labels.select(F.col("node").alias(end), F.col("label").alias(f"l{end}"))
     between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
-    top = components(between).select(F.col("node").alias("m"), F.col("label").alias("top"))
+    tops = components(between)
+    top = tops.select(F.col("node").alias("m"), F.col("label").alias("top"))
     fresh = links.select(F.col("a").alias("node")).union(links.select("b")).distinct().join(labels, "node", "left_anti").select("node", F.col("node").alias("label"))
-    return cut(labels.unionByName(fresh).join(top, F.col("label") == F.col("m"), "left").select("node", F.coalesce("top", "label").alias("label")))
+    out = cut(labels.unionByName(fresh).join(top, F.col("label") == F.col("m"), "left").select("node", F.coalesce("top", "label").alias("label")))
+    free(tops)
+    return out

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandweave.llm import graph, text
-from strandweave.session import cut, ship
+from strandweave.session import cut, free, ship
 
 U = np.uint64
 CHUNKS, PER_CHUNK = 12, 5
@@ -41,8 +41,10 @@ RADIUS = 2 * CHUNKS - 1
 BLOCK = 1024
 #: A block of full sets holds about this many, and bytes.
 SETS, SET_BYTES = 512, 8_000_000
-#: Members of a large component that are compared with all others first; salts of the join of keys with their buckets.
-HUBS, SALTS = 8, 8
+#: Members of a large component that are compared with all others first.
+HUBS = 8
+#: Salts of the join of large buckets (over BLOCK members) with their members; slots of keys that tell these buckets.
+SALTS, SLOTS = 8, 1 << 16
 _rng = np.random.RandomState(20240229)
 _ADD = _rng.randint(0, 2**63 - 1, SYMBOLS).astype(U)
 _MUL = (_rng.randint(0, 2**63 - 1, SYMBOLS).astype(U) << U(1)) | U(1)
@@ -251,18 +253,29 @@ def linked(keys: DataFrame, sig: DataFrame, sets: Callable[[DataFrame], DataFram
     keys: (key, rid), the buckets; sig: (rid, sig), one row an id; sets: gives (rid, shs) for a table of ids (rid).
     Pairs that share a bucket, have signatures within the radius and sets of enough similarity are links.
 
-    First the components of close signatures are found: from each bucket's members and its smallest one, then inside the
-    buckets that still hold several components. Then full sets are compared within each component.
+    First the components of close signatures are found, then full sets are compared within each component.
+    """
+    coarse = near(keys, sig, radius)
+    whole = labelled(coarse, sets)
+    free(coarse)
+    labels = confirmed(whole, percent)
+    free(whole)
+    return labels
+
+
+def near(keys: DataFrame, sig: DataFrame, radius: int) -> DataFrame:
+    """(node, label): components of close signatures, of ids with another.
+
+    They are found from each bucket's members and its smallest one, then inside the buckets that still hold several.
     """
     hubs = cut(keys.groupBy("key").agg(F.min("rid").alias("hub"), F.count("*").alias("n")).where("n > 1"))
-    # A bucket's members are dealt over salts, so that one with a third of all rows is SALTS tasks.
-    salted = keys.withColumn("salt", F.pmod(F.xxhash64("rid"), F.lit(SALTS)).cast("int"))
-    spread = hubs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    members = cut(salted.join(spread, ["key", "salt"]).select("key", "rid", "hub", "n"))
+    members = cut(joined_with(hubs, keys))
+    free(hubs)
     star = members.where("rid <> hub").select(F.col("hub").alias("a"), F.col("rid").alias("b")).distinct()
     star = star.join(sig.select(F.col("rid").alias("b"), F.col("sig").alias("sig_b")), "b").join(sig.select(F.col("rid").alias("a"), F.col("sig").alias("sig_a")), "a")
     star = cut(star.select("a", "b", "sig_a", "sig_b").mapInArrow(text.tidied(closer(radius)), "a long, b long"))
     coarse = graph.components(star)
+    free(star)
     # In a bucket of two the star was the only pair.
     rest = members.where("n > 2").join(coarse.withColumnRenamed("node", "rid"), "rid", "left").select("key", "rid", F.coalesce("label", "rid").alias("label"))
     # Many rows of a bucket that is joined already are dropped before anything is dealt.
@@ -272,9 +285,31 @@ def linked(keys: DataFrame, sig: DataFrame, sets: Callable[[DataFrame], DataFram
         dealt = in_blocks(open_rows, "key", F.col("label") != F.col("top"), F.ceil(F.col("n") / BLOCK), F.ceil(F.col("n_out") / BLOCK), ["label", "sig"])
         more = cut(dealt.mapInArrow(text.tidied(across(radius)), "a long, b long").distinct())
         if not more.isEmpty():
-            coarse = graph.extended(coarse, more)
+            old, coarse = coarse, graph.extended(coarse, more)
+            free(old)
+        free(more)
+    free(members, mixed)
+    return coarse
+
+
+def joined_with(hubs: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key, rid, hub, n): the rows of keys (key, rid) whose key is in hubs (key, hub, n).
+
+    Members of a bucket of over BLOCK are dealt over salts, so that one with a third of all rows is SALTS tasks. Which
+    keys are dealt is told by slots of their hashes, a table of bounded size; a small bucket in such a slot is dealt, too.
+    """
+    slot = F.pmod(F.xxhash64("key"), F.lit(SLOTS)).cast("int")
+    large = F.broadcast(hubs.where(F.col("n") > BLOCK).select(slot.alias("slot"), F.lit(SALTS).alias("salts")).distinct())
+    of = lambda rows: rows.withColumn("slot", slot).join(large, "slot", "left").withColumn("salts", F.coalesce("salts", F.lit(1))).drop("slot")
+    salted = of(keys).withColumn("salt", F.pmod(F.xxhash64("rid"), F.col("salts")).cast("int"))
+    spread = of(hubs).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    return salted.join(spread, ["key", "salt"]).select("key", "rid", "hub", "n")
+
+
+def labelled(coarse: DataFrame, sets: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(label, rid, shs) of the ids of coarse (node, label)."""
     whole = sets(coarse.select(F.col("node").alias("rid"))).join(coarse.withColumnRenamed("node", "rid"), "rid")
-    return confirmed(cut(whole.select("label", "rid", "shs")), percent)
+    return cut(whole.select("label", "rid", "shs"))
 
 
 def confirmed(whole: DataFrame, percent: int) -> DataFrame:
@@ -288,16 +323,25 @@ def confirmed(whole: DataFrame, percent: int) -> DataFrame:
     dealt = in_blocks(rows, "label", large & hub, F.col("blocks"), large.cast("int"), ["shs"])
     links = cut(dealt.mapInArrow(text.tidied(verified(percent)), "a long, b long"))
     labels = graph.components(links)
+    free(links)
     if load.where(large).isEmpty():
+        free(load)
         return labels
     parts = rows.where(large).select("label", "rid", "blocks", "shs").join(labels.select(F.col("node").alias("rid"), F.col("label").alias("part")), "rid", "left")
     parts = cut(parts.select("label", "rid", "blocks", "shs", F.coalesce("part", "rid").alias("part")))
+    free(load)
     mixed = cut(outside(parts, "label", "part"))
     if mixed.isEmpty():
+        free(parts, mixed)
         return labels
     dealt = in_blocks(parts.join(mixed, "label"), "label", F.col("part") != F.col("top"), F.col("blocks"), F.ceil(F.col("n_out") * F.col("blocks") / F.col("n")), ["shs"])
     more = cut(dealt.mapInArrow(text.tidied(verified(percent)), "a long, b long"))
-    return labels if more.isEmpty() else graph.extended(labels, more)
+    free(parts, mixed)
+    if not more.isEmpty():
+        old, labels = labels, graph.extended(labels, more)
+        free(old)
+    free(more)
+    return labels
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:

@@ -41,8 +41,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandweave.llm import graph, text
-from strandweave.llm.near_dedup import linked
-from strandweave.session import cut, ship
+from strandweave.llm.near_dedup import confirmed, labelled, near
+from strandweave.session import cut, free, ship
 
 U = np.uint64
 WORDS = 43
@@ -220,6 +220,7 @@ def repeats(docs: DataFrame, least: int = WORDS, percent: int = PERCENT, paragra
     # A document's own seeds are gathered, as many as its text has.
     marks = seeds.join(shared, "wid").groupBy("doc_id").agg(F.collect_set("wid").alias("marks"))
     candidates = cut(base.join(marks, "doc_id").select("doc_id", "text", "marks").mapInArrow(text.tidied(_candidates(least, paragraph)), "kind int, wid long, anchors array<long>, doc_id long, b long, e long"))
+    free(shared)
     found = candidates.where("kind = 1").drop("kind")
     # Equal paragraphs: one row each, with a document that holds it.
     kinds = cut(found.groupBy("wid").agg(F.min("anchors").alias("anchors"), F.min(F.struct("doc_id", "b", "e")).alias("at"), F.max("doc_id").alias("hi")))
@@ -231,12 +232,19 @@ def repeats(docs: DataFrame, least: int = WORDS, percent: int = PERCENT, paragra
     holders = open_kinds.groupBy(F.col("at.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("wid", F.col("at.b").alias("b"), F.col("at.e").alias("e"))).alias("spans"))
     signed = cut(base.join(holders, "doc_id").select("text", "spans").mapInArrow(text.tidied(_signed), "rid long, sig binary, shs binary"))
     keys = signed.select("rid", "sig").join(used, "rid").mapInArrow(text.tidied(_bands), "key long, rid long")
-    labels = linked(keys, signed.select("rid", "sig"), lambda used: signed.select("rid", "shs").join(used, "rid"), RADIUS, percent)
+    coarse = near(keys, signed.select("rid", "sig"), RADIUS)
+    free(used)
+    whole = labelled(coarse, lambda ids: signed.select("rid", "shs").join(ids, "rid"))
+    free(signed, coarse)
+    labels = confirmed(whole, percent)
+    free(whole)
     named = kinds.join(labels.select(F.col("node").alias("wid"), "label"), "wid", "left").select("wid", F.coalesce("label", "wid").alias("cluster_id"), F.col("at.doc_id").alias("lo"), "hi")
     named = cut(named)
-    whole = named.groupBy("cluster_id").agg(F.min("lo").alias("keep_doc_id"), F.max("hi").alias("last")).where("keep_doc_id < last")
-    of = named.select("wid", "cluster_id").join(whole.select("cluster_id", "keep_doc_id"), "cluster_id")
-    spans = found.join(cut(of), "wid").select("doc_id", "b", "e", "cluster_id", "keep_doc_id", (F.col("doc_id") != F.col("keep_doc_id")).alias("removed"))
+    free(kinds, labels)
+    several = named.groupBy("cluster_id").agg(F.min("lo").alias("keep_doc_id"), F.max("hi").alias("last")).where("keep_doc_id < last")
+    of = cut(named.select("wid", "cluster_id").join(several.select("cluster_id", "keep_doc_id"), "cluster_id"))
+    free(named)
+    spans = found.join(of, "wid").select("doc_id", "b", "e", "cluster_id", "keep_doc_id", (F.col("doc_id") != F.col("keep_doc_id")).alias("removed"))
     # Equal runs of words, whatever the sentences around them.
     windows = candidates.where("kind = 0").select("wid", "doc_id", "b", "e")
     equal = windows.groupBy("wid").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("wid", "lo")

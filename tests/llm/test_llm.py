@@ -3,8 +3,10 @@
 import collections
 import hashlib
 import math
+import os
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -12,6 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from strandweave import session
 from strandweave.llm import bpe, exact_dedup, fingerprint, graph, html_extract, lm_score, mixing, near_dedup, passage_dedup, quality, text, token_count, vocab
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -699,3 +702,31 @@ def test_passages_edited_where_no_sentence_is_shared(spark):
     got = passage_dedup.repeats(docs(spark, rows)).collect()
     assert len(want) >= 30 and {(r.doc_id, r.keep_doc_id) for r in got if r.removed} >= want
     assert all(r.keep_doc_id == r.doc_id % 100 for r in got)
+
+
+def test_passages_keep_on_disk_only_what_the_result_reads(spark):
+    """Of the tables written on the way two stay, and no rows of a shuffle; the result can be read twice."""
+    rng = random.Random(58)
+    some = lambda n: " ".join("".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(3, 8))) for _ in range(n))
+    passage = f"{some(30)}. {some(30)}."
+    table = docs(spark, [(d, f"{some(20)}. {passage} {some(d + 20)}.", "en", "s", 0) for d in range(8)])
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {x for x in files.getAllFiles().mkString("\n").split("\n") if "shuffle_" in x and x.endswith(".data")}
+    tables = lambda: set(os.listdir(session.shared_dir(spark).removeprefix("file:")))
+    tables_before, shuffles_before = tables(), shuffles()
+    got = passage_dedup.repeats(table)
+    for _ in range(50):  # Spark removes files a little later
+        if not shuffles() - shuffles_before:
+            break
+        time.sleep(0.1)
+    assert len(tables() - tables_before) <= 2
+    assert not shuffles() - shuffles_before
+    first = sorted(got.collect())
+    assert len({r.doc_id for r in first}) == 8 and first == sorted(got.select("*").collect())
+
+
+def test_members_of_large_buckets_are_dealt_and_none_is_lost(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 5)
+    keys = spark.createDataFrame([(r.key, r.rid) for r in spark.range(400).selectExpr("id % 37 + if(id % 3 = 0, 1000, 0) AS key", "id AS rid").collect()] + [(7, 1000 + k) for k in range(100)], "key long, rid long")
+    hubs = keys.groupBy("key").agg(F.min("rid").alias("hub"), F.count("*").alias("n")).where("n > 3")
+    assert sorted(near_dedup.joined_with(hubs, keys).collect()) == sorted(keys.join(hubs, "key").collect())
