@@ -41,6 +41,8 @@ RADIUS = 2 * CHUNKS - 1
 BLOCK = 1024
 #: A block of full sets holds about this many, and bytes.
 SETS, SET_BYTES = 512, 8_000_000
+#: Groups of as many sets are compared together with other groups, GATHERED bytes at a time.
+SMALL, GATHERED = 16, 2_000_000
 #: Members of a large component that are compared with all others first.
 HUBS = 8
 #: Salts of the join of large buckets (over BLOCK members) with their members; slots of keys that tell these buckets.
@@ -150,17 +152,30 @@ def across(radius: int) -> Callable:
     return _groupwise(compare, ["key", "b", "u", "side", "rid", "label", "sig"])
 
 
-def _groupwise(compare: Callable, names: list[str]) -> Callable:
-    """A mapInArrow function that gives the links `compare` finds in each group of the first three columns."""
+def _groupwise(compare: Callable, names: list[str], together: Callable | None = None) -> Callable:
+    """A mapInArrow function that gives the links `compare` finds in each group of the first three columns.
+
+    Groups of SMALL rows at most, all of side 0, are given to `together`, many at once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, int]] = []
+        small: list[list[tuple]] = []
+        size = 0
         for rows in grouped(batches, 3, names):
-            if len(rows) > 1:
+            if together and 1 < len(rows) <= SMALL and not any(r[3] for r in rows):
+                small.append(rows)
+                size += sum(len(r[5]) for r in rows)
+                if size > GATHERED:
+                    held += together(small)
+                    small, size = [], 0
+            elif len(rows) > 1:
                 held += compare(rows)
             if len(held) > 10_000:
                 yield pairs_batch(held)
                 held = []
+        if small:
+            held += together(small)
         if held:
             yield pairs_batch(held)
 
@@ -213,7 +228,31 @@ def verified(percent: int) -> Callable:
                 at = at[root[at] != root[i]]
         return out
 
-    return _groupwise(compare, ["label", "b", "u", "side", "rid", "shs"])
+    return _groupwise(compare, ["label", "b", "u", "side", "rid", "shs"], lambda groups: among(groups, percent))
+
+
+def among(groups: list[list[tuple]], percent: int) -> list[tuple[int, int]]:
+    """The links of `verified` inside groups (..., side 0, rid, shs) of a few sets, for all groups together."""
+    rows = [r for rows in groups for r in rows]
+    rid, n = np.array([r[4] for r in rows]), np.array([len(rows) for rows in groups])
+    size = np.array([len(r[5]) // 8 for r in rows])
+    group, place = np.repeat(np.arange(len(groups)), n), np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n)
+    owner = np.repeat(np.arange(len(rows)), size)
+    # Shingles are told apart by group; equal ones stand side by side, at most as many as the group has sets.
+    element = text.mix(np.frombuffer(b"".join(r[5] for r in rows), dtype=U) + text.mix(group.astype(U) + U(1))[owner])
+    order = np.argsort(element, kind="stable")
+    element, owner = element[order], owner[order]
+    pair, at = [], np.arange(len(element))
+    for by in range(1, int(n.max())):
+        at = at[at + by < len(element)]
+        at = at[element[at] == element[at + by]]
+        pair.append(owner[at] * int(n.max()) + place[owner[at + by]])
+    both = np.bincount(np.concatenate(pair), minlength=1)
+    found = np.flatnonzero(both)
+    a, shared = found // int(n.max()), both[found]
+    b = found % int(n.max()) - place[a] + a
+    near = (100 * shared >= percent * (size[a] + size[b] - shared)) & (rid[a] != rid[b])
+    return [(x, y) for part in graph.joined([pa.RecordBatch.from_arrays([pa.array(a[near]), pa.array(b[near])], ["a", "b"])]) for x, y in zip(*(rid[part.column(c).to_numpy()] for c in ("label", "node")), strict=True) if x != y]
 
 
 def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

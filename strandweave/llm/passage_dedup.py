@@ -13,8 +13,9 @@ one that has PARAGRAPH words or more.
    words in a row share one. A paragraph is a candidate if one of its seeds occurs in two documents, whatever its
    sentences: in 50 words at a similarity of 0.8 one word can be changed, and 24 equal words stand before or after it.
    Equal runs are looked for only where all seeds of a run occur in two documents, as those of a repeated run do.
-2. Equal paragraphs are collapsed. Different ones are joined on bands of MinHash symbols and an anchor: BANDS bands of
-   ROWS symbol, a recall of 1 - (1 - 0.8)**5 = 0.9997 at a similarity of 0.8 of pairs with a common anchor. Anchors
+2. Equal paragraphs are collapsed. Different ones are joined on an anchor, where it is that of FEW paragraphs at most,
+   else on bands of MinHash symbols and the anchor: BANDS bands of ROWS symbol, a recall of 1 - (1 - 0.8)**5 = 0.9997 at
+   a similarity of 0.8 of pairs with a common anchor. Anchors
    are the first and the last 24 words, and the smallest run of 10 words that leaves out 5 at either end, with its place
    from the begin and with that from the end. They keep overlapping paragraphs of one text apart, which would chain a
    whole text to what one part of it repeats. Pairs with changes in one place share the first or last words, pairs
@@ -55,6 +56,10 @@ SEED, SPAN = 10, 24
 #: Words at either end of a paragraph that the inner seed leaves out; bits for a seed's place in its text.
 EDGE, PLACE = 5, U(28)
 BANDS, ROWS = 5, 1
+#: The paragraphs of an anchor that has no more are all compared, without bands.
+FEW = 16
+#: Shingles whose sets are sorted at once.
+CELLS = 1 << 20
 SYMBOLS = 24
 #: Differing symbols of a pair to confirm; a pair of similarity 0.8 has 4.8 of 24 on average.
 RADIUS = 14
@@ -93,6 +98,17 @@ def winnowed(hashes: np.ndarray, step: int = STEP) -> np.ndarray:
     return np.unique(np.lib.stride_tricks.sliding_window_view(hashes, step).argmin(axis=1) + np.arange(len(hashes) - step + 1))
 
 
+def winnowed_rows(hashes: np.ndarray, begins: np.ndarray, ends: np.ndarray, step: int = STEP) -> np.ndarray:
+    """`winnowed` of each row's own hashes, those from its begin to its end; places in all hashes."""
+    few = [b + winnowed(hashes[b:e], step) for b, e in zip(begins, ends, strict=True) if b < e <= b + step]
+    begins, ends = begins[ends > begins + step], ends[ends > begins + step]
+    at = np.arange(max(len(hashes) - step + 1, 0))
+    row = np.searchsorted(begins, at, side="right") - 1
+    at = at[(row >= 0) & (at + step <= ends[row])] if len(begins) else at[:0]
+    most = np.lib.stride_tricks.sliding_window_view(hashes, step)[at].argmin(axis=1) if len(at) else at
+    return np.unique(np.concatenate([at + most, *few]).astype(np.int64))
+
+
 def least_of(hashes: np.ndarray, step: int) -> np.ndarray:
     """The smallest of each `step` neighbours."""
     out, width = hashes, 1
@@ -129,32 +145,36 @@ def _candidates(least: int, paragraph: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text.pieces(batch, "text"):
-                words, bounds, cuts, sb, _ = sentences(part.column("text"))
-                out: list[tuple] = []
-                for i, (doc_id, marks) in enumerate(zip(part.column("doc_id").to_pylist(), part.column("marks").to_pylist(), strict=True)):
-                    own, n = words[bounds[i] : bounds[i + 1]], int(bounds[i + 1] - bounds[i])
-                    if n < SPAN:
-                        continue
-                    tens = text.runs(own, np.arange(n - SEED + 1), np.arange(SEED, n + 1))
-                    open_at = np.isin(least_of(tens, SPAN - SEED + 1), np.array(marks, dtype=np.int64).astype(U))
-                    shared = np.concatenate([[0], np.cumsum(open_at)])
-                    if n >= least:  # a run that two documents hold has shared seeds only
-                        at = np.arange(n - least + 1)
-                        hashes, inside = text.runs(own, at, at + least), max(least - SPAN + 1, 0)
-                        b = winnowed(hashes)
-                        b = b[shared[b + inside] - shared[b] == inside]
-                        out.append((0, hashes[b], np.zeros((len(b), 0), U), doc_id, b, b + least))
-                    starts = cuts[sb[i] : sb[i + 1] + 1] - bounds[i]
-                    end = np.searchsorted(starts, starts[:-1] + paragraph)  # the first sentence bound with enough words
-                    b, e = starts[:-1][end < len(starts)], starts[end[end < len(starts)]]
-                    some = shared[e - SPAN + 1] > shared[b]
-                    b, e = b[some], e[some]
-                    if len(b):
-                        out.append((1, text.runs(own, b, e), _anchors(own, tens, b, e), doc_id, b, e))
-                if out:
-                    kind, docs = (np.repeat(np.array([x[k] for x in out], dtype=np.int64), [len(x[1]) for x in out]) for k in (0, 3))
-                    wid, b, e = (np.concatenate([x[k] for x in out]).astype(np.int64) for k in (1, 4, 5))
-                    yield pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int32)), pa.array(wid), _lists([x[2] for x in out]), pa.array(docs), pa.array(b), pa.array(e)], ["kind", "wid", "anchors", "doc_id", "b", "e"])
+                words, bounds, cuts, _, _ = sentences(part.column("text"))
+                n = len(words)
+                if n < SPAN:
+                    continue
+                docs, long = part.column("doc_id").to_numpy(), np.diff(bounds) >= SPAN
+                row = np.repeat(np.arange(part.num_rows), np.diff(bounds))
+                tens = text.runs(words, np.arange(n - SEED + 1), np.arange(SEED, n + 1))
+                # A seed that another text of the piece shares is one that this text shares, too, where it has it.
+                marks = part.column("marks").flatten().to_numpy(zero_copy_only=False).astype(U)
+                shared = np.concatenate([[0], np.cumsum(np.isin(least_of(tens, SPAN - SEED + 1), marks))])
+                kind, wid, anchors, begin, end = [], [], [], [], []
+                if n >= least:  # a run that two documents hold has shared seeds only
+                    at = np.arange(n - least + 1)
+                    hashes, inside = text.runs(words, at, at + least), max(least - SPAN + 1, 0)
+                    b = winnowed_rows(hashes, bounds[:-1][long], bounds[1:][long] - least + 1)
+                    b = b[shared[b + inside] - shared[b] == inside]
+                    kind, wid, anchors, begin, end = [np.zeros(len(b), np.int32)], [hashes[b]], [np.zeros((len(b), 0), U)], [b], [b + least]
+                b = cuts[:-1][long[row[cuts[:-1]]]]
+                e = cuts[np.minimum(np.searchsorted(cuts, b + paragraph), len(cuts) - 1)]  # the first sentence bound with enough words
+                inside = (e >= b + paragraph) & (e <= bounds[row[b] + 1])
+                b, e = b[inside], e[inside]
+                some = shared[e - SPAN + 1] > shared[b]
+                b, e = b[some], e[some]
+                if len(b):
+                    for held, x in ((kind, np.ones(len(b), np.int32)), (wid, text.runs(words, b, e)), (anchors, _anchors(words, tens, b, e)), (begin, b), (end, e)):
+                        held.append(x)
+                if kind:
+                    b, e = np.concatenate(begin), np.concatenate(end)
+                    own = bounds[row[b]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(kind)), pa.array(np.concatenate(wid).astype(np.int64)), _lists(anchors), pa.array(docs[row[b]]), pa.array(b - own), pa.array(e - own)], ["kind", "wid", "anchors", "doc_id", "b", "e"])
 
     return run
 
@@ -180,21 +200,25 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in text.pieces(batch, "text"):
             sh, bounds = text.shingles(*text.word_hashes(part.column("text")))
-            rid, sig, shs = [], [], []
-            for i, spans in enumerate(part.column("spans").to_pylist()):
-                own = sh[bounds[i] : bounds[i + 1]]
-                for span in spans:
-                    x = np.unique(own[span["b"] : span["e"] - text.SHINGLE + 1])
-                    y = (x[:, None] + _ADD) * _MUL
-                    y ^= y >> U(32)
-                    rid.append(span["wid"])
-                    sig.append((y.min(axis=0) >> U(7)).astype(np.uint16).tobytes())
-                    shs.append(x.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(sig, pa.binary()), pa.array(shs, pa.binary())], ["rid", "sig", "shs"])
+            spans = part.column("spans")
+            of, flat = np.repeat(bounds[:-1], spans.value_lengths().to_numpy()), spans.flatten()
+            rid, b, e = (flat.field(k).to_numpy() for k in ("wid", "b", "e"))
+            b, e = of + b, of + e - text.SHINGLE + 1
+            ends, sig = np.stack([b, e], axis=1).reshape(-1), np.empty((len(b), SYMBOLS), dtype=np.uint16)
+            for k in range(SYMBOLS):
+                y = (np.append(sh, U(0)) + _ADD[k]) * _MUL[k]
+                y ^= y >> U(32)
+                sig[:, k] = (np.minimum.reduceat(y, ends)[::2] >> U(7)).astype(np.uint16) if len(b) else 0
+            order, done = np.argsort(b - e, kind="stable"), 0  # the longest first, so that rows sorted at once have about one length
+            while done < len(order):
+                at = np.sort(order[done : done + max(1, CELLS // int(e[order[done]] - b[order[done]]))])
+                done += len(at)
+                sizes, shs = text.sets(sh, b[at], e[at])
+                yield pa.RecordBatch.from_arrays([pa.array(rid[at]), text.binary(sig[at]), text.lists_of_bytes(shs, sizes)], ["rid", "sig", "shs"])
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rid, anchor, sig) to (key, rid): the bands under the anchor."""
+    """(rid, anchor, sig) to (key, rid): the bands under an anchor of many paragraphs."""
     for batch in batches:
         if batch.num_rows:
             sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), dtype=np.uint16).reshape(-1, SYMBOLS)[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS).astype(U)
@@ -226,12 +250,13 @@ def repeats(docs: DataFrame, least: int = WORDS, percent: int = PERCENT, paragra
     kinds = cut(found.groupBy("wid").agg(F.min("anchors").alias("anchors"), F.min(F.struct("doc_id", "b", "e")).alias("at"), F.max("doc_id").alias("hi")))
     # Most paragraphs have no anchor in common with one of another document; only the others are signed.
     anchored = kinds.select(F.col("wid").alias("rid"), F.col("at.doc_id").alias("lo"), "hi", F.explode("anchors").alias("anchor"))
-    both = anchored.groupBy("anchor").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("rid").alias("low"), F.max("rid").alias("high")).where("lo < hi and low < high")
-    used = cut(anchored.join(both.select("anchor"), "anchor").select("rid", "anchor"))
+    both = anchored.groupBy("anchor").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("rid").alias("low"), F.max("rid").alias("high"), F.count("*").alias("n")).where("lo < hi and low < high")
+    used = cut(anchored.join(both.select("anchor", "n"), "anchor").select("rid", "anchor", (F.col("n") <= FEW).alias("few")))
     open_kinds = kinds.join(used.select(F.col("rid").alias("wid")).distinct(), "wid", "left_semi")
     holders = open_kinds.groupBy(F.col("at.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("wid", F.col("at.b").alias("b"), F.col("at.e").alias("e"))).alias("spans"))
     signed = cut(base.join(holders, "doc_id").select("text", "spans").mapInArrow(text.tidied(_signed), "rid long, sig binary, shs binary"))
-    keys = signed.select("rid", "sig").join(used, "rid").mapInArrow(text.tidied(_bands), "key long, rid long")
+    keys = signed.select("rid", "sig").join(used.where("not few"), "rid").mapInArrow(text.tidied(_bands), "key long, rid long")
+    keys = keys.unionByName(used.where("few").select(F.col("anchor").alias("key"), "rid"))
     coarse = near(keys, signed.select("rid", "sig"), RADIUS)
     free(used)
     whole = labelled(coarse, lambda ids: signed.select("rid", "shs").join(ids, "rid"))

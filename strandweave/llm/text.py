@@ -158,6 +158,23 @@ def binary(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), rows.shape[0], [None, pa.py_buffer(np.arange(0, (rows.shape[0] + 1) * width, max(width, 1), dtype=np.int32)[: rows.shape[0] + 1].tobytes()), pa.py_buffer(flat)])
 
 
+def sets(values: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes of the sets of the values in each range, and the sets' values, sorted in each, one set after the other."""
+    size = (ends - begins)[:, None]
+    at = np.arange(int(size.max(initial=0)))
+    rows = np.where(at < size, values[np.minimum(begins[:, None] + at, len(values) - 1)], np.iinfo(values.dtype).max)
+    rows.sort(axis=1)
+    keep = at < size
+    keep[:, 1:] &= rows[:, 1:] != rows[:, :-1]
+    return keep.sum(axis=1), rows[keep]
+
+
+def lists_of_bytes(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Consecutive values, `sizes` of them at a time, as one binary value each."""
+    offsets = np.concatenate([[0], np.cumsum(sizes)]) * values.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(values.tobytes())])
+
+
 #: What operators keep in a worker between tasks, by name.
 stores: dict[str, dict] = {}
 

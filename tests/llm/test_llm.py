@@ -730,3 +730,21 @@ def test_members_of_large_buckets_are_dealt_and_none_is_lost(spark, monkeypatch)
     keys = spark.createDataFrame([(r.key, r.rid) for r in spark.range(400).selectExpr("id % 37 + if(id % 3 = 0, 1000, 0) AS key", "id AS rid").collect()] + [(7, 1000 + k) for k in range(100)], "key long, rid long")
     hubs = keys.groupBy("key").agg(F.min("rid").alias("hub"), F.count("*").alias("n")).where("n > 3")
     assert sorted(near_dedup.joined_with(hubs, keys).collect()) == sorted(keys.join(hubs, "key").collect())
+
+
+def test_rows_and_groups_taken_together_equal_each_alone():
+    rng = np.random.RandomState(61)
+    values, bounds = rng.randint(0, 40, 600).astype(np.uint64), np.sort(np.append(rng.randint(0, 601, 60), [0, 600, 600]))
+    begins, ends = bounds[:-1], bounds[1:]
+    alone = [b + passage_dedup.winnowed(values[b:e]) for b, e in zip(begins, ends, strict=True)]
+    assert passage_dedup.winnowed_rows(values, begins, ends).tolist() == np.concatenate(alone).tolist()
+    sizes, flat = text.sets(values, begins, ends)
+    assert [x.tolist() for x in np.split(flat, np.cumsum(sizes)[:-1])] == [np.unique(values[b:e]).tolist() for b, e in zip(begins, ends, strict=True)]
+    pool = rng.randint(0, 2**62, 30).astype(np.uint64)  # all groups draw from the same shingles
+    groups = [[(g, 0, 0, 0, 100 * g + i, np.unique(np.where(rng.rand(30) < 0.9, pool, rng.randint(0, 2**62, 30).astype(np.uint64))).tobytes()) for i in range(rng.randint(2, 9))] for g in range(80)]
+    links = near_dedup.among(groups, 80)
+    found = {r: label for part in graph.joined([near_dedup.pairs_batch(links)]) for r, label in zip(part.column("node").to_pylist(), part.column("label").to_pylist(), strict=True)}
+    want = {}
+    for rows in groups:
+        want |= joined([(r[0], r[4], r[5]) for r in rows], 80)
+    assert found == want and 20 < len(links) < sum(map(len, groups)) and near_dedup.among(groups[:1], 101) == []
