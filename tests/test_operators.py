@@ -55,6 +55,14 @@ def test_range_join_equals_a_nested_loop(spark):
     assert sorted(map(tuple, got)) == sorted(zip(want.p, want.w, strict=True))
 
 
+def test_range_join_of_fractions(spark):
+    """Points in the bin of a window's end, less than one under it."""
+    p = pd.DataFrame({"k": 1, "x": [199.5, 200.0, 200.25, 200.5, -0.25, 10.0]})
+    w = pd.DataFrame({"k": 1, "lo": [0.5, -199.75], "hi": [200.5, 0.25]})
+    got = intervals.range_join(spark.createDataFrame(p), spark.createDataFrame(w), ["k"], "x", "lo", "hi", 200).select("x", "lo").collect()
+    assert sorted(map(tuple, got)) == [(-0.25, -199.75), (10.0, 0.5), (199.5, 0.5), (200.0, 0.5), (200.25, 0.5)]
+
+
 def test_merge_and_complement(spark):
     rows = spark.createDataFrame([("a", 0, 5), ("a", 3, 9), ("a", 20, 25), ("b", 1, 2)], "g string, lo long, hi long")
     merged = intervals.merged(rows, ["g"])
