@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from strandweave.functions import sequence as sq
@@ -32,6 +33,28 @@ def test_seeds_match_brute_force(spark):
         assert sorted((r.pos, r.key, r.z) for r in got if r.id == i) == brute_seeds(seq)
 
 
+def test_key_counts_equal_counted_seeds(spark):
+    """Keys are counted in parts of 50 seeds; characters beyond ASCII count once; texts do not run into each other."""
+    rng = np.random.RandomState(9)
+    rows = [(i, "".join(rng.choice(list("abcdé \U0001f600"), 90))) for i in range(40)] + [(7, "abcd wxyz hgf edcb afgdh jkl" * 3)] * 3 + [(None, "abcd wxyz hgf edcb"), (60, None)]
+    df = spark.createDataFrame(rows, "id long, text string").repartition(2)
+    want = sorted((r.key, r.n) for r in seeds.seeds(df, "id").groupBy("key").agg(F.count("*").alias("n")).collect())
+    assert sorted(map(tuple, seeds.key_counts(df, "id", most=50).collect())) == want and max(n for _, n in want) >= 3
+    parts = list(seeds.coded(pa.array([t for _, t in rows]), most=100))
+    assert len(parts) > 20 and sum(len(e) - 1 for _, _, e in parts) == len(rows)
+
+
+def test_chains_of_a_group_that_comes_in_several_batches():
+    """Groups are cut by batches anywhere, one of them over four; chains are those of whole groups."""
+    names = ["id", "contig", "lane", "d", "r_lo", "r_hi", "q_lo", "q_hi", "n", "weight"]
+    runs = pd.DataFrame(random_runs(5, 30) + [(99, 1, 0, 0, 100 * i, 100 * i + 20, 100 * i, 100 * i + 20, 3, 35) for i in range(25)], columns=names).sort_values(["id", "contig", "lane"], kind="stable")
+    batches = pa.Table.from_pandas(runs[[*chain.GROUP, *chain.RUN]], preserve_index=False).to_batches(max_chunksize=7)
+    got = pd.concat([b.to_pandas() for b in chain._chainer(5000, 500, -1000, 15)(iter(batches))])
+    want = pd.concat([chain.chain_group(g, 5000, 500, 15) for _, g in runs.groupby(chain.GROUP)])
+    assert len(batches) > 20 and len(got[got.id == 99]) == 1 and got[got.id == 99].n_runs.item() == 25
+    assert sorted(map(tuple, got.to_numpy().tolist())) == sorted(map(tuple, want[got.columns].to_numpy().tolist()))
+
+
 def test_smer_ranks_do_not_depend_on_strand():
     rank = seeds.smer_ranks(3)
     for code in range(64):
