@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandweave.session import cut, free
+
 #: Slopes are whole numbers of 2**-20, between -6 % and +10 %; a line rests on 8 seeds over a quarter of
 #: its read; reach and trim have floors in bases.
 ONE = 1 << 20
@@ -64,8 +66,10 @@ def winner_lines(points: DataFrame, winners: DataFrame, by: list[str]) -> DataFr
     first = fitted(nearest_pairs(own, by, F.col("start"), (F.col("bin") - 1) * F.col("width"), (F.col("bin") + 2) * F.col("width") - 1), by)
     along = own.join(first, by).withColumn("centre", on_line(F.col("q")))
     reach = F.greatest(F.col("width"), F.lit(REACH_FLOOR))
-    pairs = nearest_pairs(along, by, F.col("centre"), F.col("centre") - reach, F.col("centre") + reach)
-    off = pairs.join(fitted(pairs, by), by).select(*by, "q", "d", (F.col("d") - on_line(F.col("q"))).alias("off"))
+    # Each step reads the rows of the one before more than once, so they are written.
+    pairs = cut(nearest_pairs(along, by, F.col("centre"), F.col("centre") - reach, F.col("centre") + reach))
+    off = cut(pairs.join(fitted(pairs, by), by).select(*by, "q", "d", (F.col("d") - on_line(F.col("q"))).alias("off")))
+    free(pairs)
     # A median is the upper middle element.
     middle = lambda sorted_: F.element_at(sorted_, F.floor(F.size(sorted_) / 2).cast("int") + 1)
     centres = off.groupBy(*by).agg(F.array_sort(F.collect_list("off")).alias("offs")).withColumn("median", middle(F.col("offs")))
