@@ -120,10 +120,11 @@ def merged_header(lines: DataFrame) -> DataFrame:
     kind = F.substring("line", 1, 4)
     own = F.regexp_extract("line", "\tID:([^\t]*)", 1)
     rows = lines.where(kind.isin("@RG\t", "@PG\t", "@CO\t")).select("input", "n", "line", kind.alias("kind"), F.when(kind != "@CO\t", own).alias("key"))
-    first = F.row_number().over(Window.partitionBy("kind", "key").orderBy("input", "n"))
-    differ = F.min("line").over(Window.partitionBy("kind", "key")) != F.max("line").over(Window.partitionBy("kind", "key"))
-    refused = F.when((F.col("kind") == "@RG\t") & differ, F.raise_error(F.concat(F.lit("read group declared differently: "), F.col("key"))).cast("string")).otherwise(F.col("line"))
-    return rows.withColumns({"_first": first, "line": refused}).where((F.col("kind") == "@CO\t") | (F.col("_first") == 1)).select("input", "n", "line")
+    # Comments have no key and are not grouped; the first of a group is found by partial results, not in a window.
+    first = F.min(F.struct("input", "n", "line")).alias("f")
+    groups = rows.where("key is not null").groupBy("kind", "key").agg(first, (F.min("line") != F.max("line")).alias("differ"))
+    refused = F.when((F.col("kind") == "@RG\t") & F.col("differ"), F.raise_error(F.concat(F.lit("read group declared differently: "), F.col("key"))).cast("string")).otherwise(F.col("f.line"))
+    return rows.where("key is null").select("input", "n", "line").unionByName(groups.select("f.input", "f.n", refused.alias("line")))
 
 
 def target_end(pos: Column, end: Column, exact: Column, regions: Column, cigar: Column) -> Column:
