@@ -208,6 +208,16 @@ def test_cigar_functions(spark):
     assert m.select(records.max_segment(records.cigar_ops(F.col("c")))).first()[0] == 10
 
 
+def test_many_cigars_are_accounted_together(spark):
+    """Rows do not run into each other; what is no operation is passed over; no CIGAR has no sums. No fold a row."""
+    rows = [(0, "5S10M"), (1, None), (2, "12"), (3, "3M*7"), (4, ""), (5, "12Q5=2X1N6H"), (6, "MM7I100000D"), (7, "1é2D")]
+    found = spark.createDataFrame(rows, "i int, c string").coalesce(1).select("i", records.accounted(F.col("c")).alias("a"))
+    assert "aggregate(" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.i: None if r.a is None else tuple(r.a) for r in found.collect()}
+    zero = (0,) * 7
+    assert got == {0: (10, 10, 10, 10, 0, 0, 5), 1: None, 2: zero, 3: (3, 3, 3, 3, 0, 0, 0), 4: zero, 5: (7, 8, 7, 5, 0, 0, 6), 6: (7, 100000, 100007, 0, 100007, 2, 0), 7: (0, 2, 2, 0, 2, 1, 0)}
+
+
 def test_paf_leaves_null_tags_out(spark):
     one = spark.range(1)
     line = records.paf_line(F.lit("r 1"), F.lit(10), F.lit(0), F.lit(5), F.lit(True), F.lit("c"), F.lit(99), F.lit(1), F.lit(6), F.lit(5), F.lit(5), F.lit(60), [records.tag("tp", "A", F.lit("P")), records.tag("s2", "i", F.lit(None).cast("int"))])
